@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,8 +32,7 @@ _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 
 def lowered(batch: pa.RecordBatch) -> pa.RecordBatch:
-    text = pa.array([None if x is None else x.lower() for x in batch.column("text").to_pylist()], pa.large_string())
-    return batch.set_column(batch.schema.get_field_index("text"), "text", text)
+    return batch.set_column(batch.schema.get_field_index("text"), "text", pc.utf8_lower(batch.column("text")))
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
+from .packing import pack
+from .suffix_dedup import repeated_passages
+from . import quality, toxicity
 
 
 def op2_near_dedup(spark, sf_dir):
@@ -15,7 +18,25 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op5_exact_dedup)}
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op1_suffix_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op5_exact_dedup, op7_toxicity, op8_quality, op9_packing, op1_suffix_dedup)}
 
 SQL = {
     "op5_exact_dedup": """
