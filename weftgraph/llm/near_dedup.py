@@ -4,10 +4,11 @@ A document is its set of lower-case three-word shingles (punctuation ignored; a
 one shingle). Each shingle's hash picks one of 128 buckets; a bucket keeps its least value as a 16-bit float:
 the count of leading zeros and the 10 bits after the first one. Four neighbouring registers are one band, a
 64-bit integer, so banding needs no further hashing. Empty registers borrow from others (optimal densification)
-for banding only. Documents that share a band with the least document of that band are compared: first by the
+for banding only. All members of a bucket of a band are compared with its most central member: first by the
 share of equal registers, corrected by the collisions that two unrelated sets of these sizes would have, then
-by exact Jaccard similarity of their shingle sets. Members that the least one turned down choose a least one
-among themselves, until nobody is left, so no bucket is capped and a bucket of n copies costs n comparisons.
+by exact Jaccard similarity of their shingle sets. Buckets whose members are then still in different components
+are gone through once more, comparing those members with each other. No bucket is capped, and one of n copies
+costs n comparisons.
 
 Sets that are equal are one node from the start, so thousands of exact copies are one row in all of this.
 """
@@ -162,32 +163,80 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _edges(nodes: DataFrame, shingles, threshold: float) -> DataFrame:
+def _bridges(threshold: float):
+    """Compares the members of a bucket that lie in different components; rows come in the order of their buckets.
+
+    A member is compared with the leaders before it and becomes one itself, unless a leader is surely similar.
+    """
+
+    def flush(node, root, n, regs, out):
+        x = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, REGISTERS)
+        node, root, n = map(np.array, (node, root, n))
+        leaders = np.zeros(1, np.int64)
+        for i in range(1, len(node)):
+            others = leaders[root[leaders] != root[i]]
+            sure = False
+            if len(others):
+                e = estimate(np.broadcast_to(x[i], (len(others), REGISTERS)), x[others], np.full(len(others), n[i]), n[others])
+                near = others[e >= threshold - MARGIN]
+                out[0] += [int(node[i])] * len(near)
+                out[1] += node[near].tolist()
+                out[2] += e[e >= threshold - MARGIN].tolist()
+                sure = e.max() >= threshold + MARGIN
+            if not sure:
+                leaders = np.append(leaders, i)
+
+    def run(batches):
+        held, last = [[], [], [], []], None
+        for batch in batches:
+            out = [[], [], []]
+            for band, key, *row in zip(*[batch.column(c).to_pylist() for c in ("band", "key", "node", "root", "n", "regs")]):
+                if (band, key) != last:
+                    flush(*held, out)
+                    held, last = [[], [], [], []], (band, key)
+                for h, v in zip(held, row):
+                    h.append(v)
+            yield _pairs(out)
+        out = [[], [], []]
+        flush(*held, out)
+        yield _pairs(out)
+
+    return run
+
+
+def _pairs(out: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["node", "leader", "estimate"])
+
+
+def _edges(nodes: DataFrame, shingles, threshold: float) -> DataFrame | None:
     """Verified (node, leader) pairs; ``shingles`` gives the sets of the nodes it is handed."""
     bucket = W.partitionBy("band", "key")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    sets, found = None, None
-    while True:
-        led = rows.withColumn("leader", F.min("node").over(bucket)).where("node != leader")
-        led = cut(led)
-        if led.isEmpty():
-            return found
-        pairs = led.select("node", "leader").distinct()
-        ends = nodes.select("node", "n", "regs")
-        lead = ends.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("regs").alias("leader_regs"))
-        near = cut(
-            pairs.join(ends, "node").join(lead, "leader").mapInArrow(_estimated, "node long, leader long, estimate double")
-            .where(F.col("estimate") >= threshold - MARGIN)
-        )
-        if sets is None:
-            sets = cut(shingles(led.select("node").unionByName(led.select(F.col("leader").alias("node"))).distinct()))
-        other = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("leader_shingles"))
-        good = cut(
-            near.join(sets, "node").join(other, "leader").mapInArrow(_verified, "node long, leader long, jaccard double")
-            .where(F.col("jaccard") >= threshold)
-        )
-        found = good if found is None else found.unionByName(good)
-        rows = led.join(good, ["node", "leader"], "left_anti").select("node", "band", "key")
+    rows = cut(rows.withColumn("mates", F.count(F.lit(1)).over(bucket)).where("mates > 1"))
+    if rows.isEmpty():
+        return None
+    sets = cut(shingles(rows.select("node").distinct()))
+    other = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("leader_shingles"))
+
+    def verified(near: DataFrame) -> DataFrame:
+        both = near.select("node", "leader").distinct().join(sets, "node").join(other, "leader")
+        return cut(both.mapInArrow(_verified, "node long, leader long, jaccard double").where(F.col("jaccard") >= threshold))
+
+    # the leader of a bucket is the member with the most mates over all bands: the original of many copies
+    central = rows.groupBy("node").agg(F.sum("mates").alias("weight"))
+    led = rows.select("node", "band", "key").join(central, "node")
+    led = cut(led.withColumn("leader", F.max(F.struct("weight", "node")).over(bucket)["node"]).select("node", "band", "key", "weight", "leader"))
+    ends = nodes.select("node", "n", "regs")
+    lead = ends.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("regs").alias("leader_regs"))
+    pairs = led.where("node != leader").select("node", "leader").distinct().join(ends, "node").join(lead, "leader")
+    stars = verified(pairs.mapInArrow(_estimated, "node long, leader long, estimate double").where(F.col("estimate") >= threshold - MARGIN))
+    # what is left to compare: buckets whose members still lie in different components
+    roots = components(stars, "node", "leader")
+    open_ = led.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = open_.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low != high")
+    open_ = open_.join(ends, "node").repartition("band", "key").sortWithinPartitions("band", "key", F.desc("weight"), "node")
+    near = open_.select("band", "key", "node", "root", "n", "regs").mapInArrow(_bridges(threshold), "node long, leader long, estimate double")
+    return stars.unionByName(verified(near))
 
 
 def _node(sets: list[np.ndarray]) -> np.ndarray:
