@@ -5,9 +5,10 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
+from .ann import nearest
 from .packing import pack
 from .suffix_dedup import repeated_passages
-from . import quality, toxicity
+from . import bpe, language, quality, token_count, toxicity
 
 
 def op2_near_dedup(spark, sf_dir):
@@ -36,7 +37,24 @@ def op1_suffix_dedup(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op5_exact_dedup, op7_toxicity, op8_quality, op9_packing, op1_suffix_dedup)}
+def op3_token_counts(spark, sf_dir):
+    return token_count.token_counts(table(spark, sf_dir, "documents"), token_count.load())
+
+
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+def op6_bpe(spark, sf_dir):
+    return bpe.encode(table(spark, sf_dir, "documents"), bpe.load())
+
+
+def op10_neighbours(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op5_exact_dedup, op7_toxicity, op8_quality, op9_packing, op1_suffix_dedup, op3_token_counts, op4_language_id, op6_bpe, op10_neighbours)}
 
 SQL = {
     "op5_exact_dedup": """
