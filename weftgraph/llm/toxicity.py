@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 The positives are documents confirmed as toxic, the unlabelled ones a sample of all documents. Words and their
-beginnings of 3 to 6 bytes are hashed features; those that the positives show clearly more often than the
-unlabelled are kept, and a linear model over their presence is trained in numpy on the risk
+beginnings of 3 to 6 bytes are hashed features; those that the positives show more often than the unlabelled by
+as much as a mostly toxic feature would are kept, and a linear model over their presence is trained in numpy on the risk
 
     prior * R(positive as +) + max(0, R(unlabelled as -) - prior * R(positive as -))
 
@@ -27,6 +27,7 @@ from .near_dedup import lowered
 FEATURES = 1 << 20
 PREFIXES = (3, 4, 5, 6)
 POSITIVES, UNLABELLED = 3000, 6000
+SIGMAS = 5.0
 
 
 @dataclass
@@ -75,8 +76,9 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return model
     count = [np.bincount(np.concatenate(x) if x else [], minlength=FEATURES) for x in (positive, unlabelled)]
     share = [(c + 0.5) / (len(x) + 1) for c, x in zip(count, (positive, unlabelled))]
-    least = min(8, max(2, len(positive) // 50))
-    chosen = np.flatnonzero((count[0] >= least) & (share[0] > 3 * share[1]))
+    # kept: features of which at least half the bearers should be toxic, and not by chance
+    expected = len(positive) * share[1]
+    chosen = np.flatnonzero((prior * share[0] > 0.5 * share[1]) & (count[0] - expected > SIGMAS * np.sqrt(expected * (1 - share[1])) + 1))
     place = np.full(FEATURES, -1)
     place[chosen] = np.arange(len(chosen))
 
