@@ -35,11 +35,16 @@ def dot(p: Column, q: Column) -> Column:
     return _sum(F.zip_with(p, q, lambda a, b: a * b))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(v: Column) -> Column:
     """A distribution from any vector."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    e = F.transform(d, lambda x: F.exp(x - F.array_max(d)))
-    return F.transform(e, lambda x: x / _sum(e))
+    scale = lambda e: let(_sum(e), lambda total: F.transform(e, lambda x: x / total))
+    grow = lambda d: let(F.array_max(d), lambda top: F.transform(d, lambda x: F.exp(x - top)))
+    return let(let(F.transform(v, lambda x: x.cast("double")), grow), scale)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -488,12 +488,12 @@ def f6_degree_filters(kg):
 JSD = "list_sum(list_transform(range(1, len(a.topic) + 1), lambda i: (a.topic[i] * log2(2 * a.topic[i] / (a.topic[i] + b.topic[i])) + b.topic[i] * log2(2 * b.topic[i] / (a.topic[i] + b.topic[i]))) / 2))"
 
 
-@query(f"WITH {TOPICS} SELECT a.v, b.v AS nbr, round({JSD}, 6) AS divergence FROM t a JOIN t b ON a.label = b.label AND a.v < b.v WHERE {JSD} < 0.0021")
+@query(f"WITH {TOPICS} SELECT a.v, b.v AS nbr, round({JSD}, 6) AS divergence FROM t a JOIN t b ON a.label = b.label AND a.v < b.v WHERE {JSD} < 0.004")
 def f7_topic_filter(spark, d):
     t = _topics(spark, d)
     a, b = t.select("v", "label", F.col("topic").alias("x")), t.select(F.col("v").alias("nbr"), "label", F.col("topic").alias("y"))
     pair = a.join(b, "label").where("v < nbr")
-    return pair.where(FI.coherent(F.col("x"), F.col("y"), 0.0021)).select("v", "nbr", r6(C.js_divergence(F.col("x"), F.col("y"))).alias("divergence"))
+    return pair.where(FI.coherent(F.col("x"), F.col("y"), 0.004)).select("v", "nbr", r6(C.js_divergence(F.col("x"), F.col("y"))).alias("divergence"))
 
 
 @query("""WITH t AS (SELECT c_name AS s, CASE WHEN c_acctbal < 0 THEN '''s debt' WHEN c_acctbal < 5000 THEN 'was' ELSE 'has' END AS p, c_mktsegment AS o, [c_mktsegment, substr(c_name, 1, 8)] AS phrases FROM customer)
@@ -679,19 +679,19 @@ def _topic_paths(mode):
     js AS (SELECT a.v AS x, b.v AS y, {JSD} AS d FROM vt a JOIN vt b ON a.v <> b.v),
     w AS (SELECT src, dst, src AS v, [src] AS seen, 0 AS length, src || ' : ' AS line FROM pr UNION ALL
       SELECT src, dst, ga.nbr, list_append(seen, ga.nbr), length + 1, line || CASE WHEN length > 0 THEN ', ' ELSE '' END || '(' || ga.p || CASE WHEN ga.out THEN '-Out) ' ELSE '-In) ' END || ga.nbr
-      FROM w JOIN ga ON ga.v = w.v JOIN js ON js.x = {near} AND js.y = ga.nbr WHERE w.v <> dst AND length < 4 AND NOT list_contains(seen, ga.nbr) AND js.d < 0.0028) SELECT src, dst, length, line FROM w WHERE v = dst"""
+      FROM w JOIN ga ON ga.v = w.v JOIN js ON js.x = {near} AND js.y = ga.nbr WHERE w.v <> dst AND length < 4 AND NOT list_contains(seen, ga.nbr) AND js.d < 0.0052) SELECT src, dst, length, line FROM w WHERE v = dst"""
 
 
 @query(_topic_paths("consecutive"))
 def g3_topic_paths(spark, d):
     kg, topics = _topic_kg(spark, d)
-    return P.rendered(P.simple_paths(_nation_pairs(kg), P.adjacency(kg.edges, topics=topics, divergence=0.0028), 4))
+    return P.rendered(P.simple_paths(_nation_pairs(kg), P.adjacency(kg.edges, topics=topics, divergence=0.0052), 4))
 
 
 @query(_topic_paths("source"))
 def g3_source_topic_paths(spark, d):
     kg, topics = _topic_kg(spark, d)
-    return P.rendered(P.simple_paths(_nation_pairs(kg), P.adjacency(kg.edges), 4, topics, 0.0028))
+    return P.rendered(P.simple_paths(_nation_pairs(kg), P.adjacency(kg.edges), 4, topics, 0.0052))
 
 
 @graph_query(", want AS (SELECT DISTINCT substr(v, 1, 3) AS k FROM mt WHERE type IN ('nation', 'region')), hit AS (SELECT k, min(v) AS v FROM want JOIN deg ON starts_with(lower(deg.v), k) GROUP BY k) SELECT a.v AS src, b.v AS dst FROM want x JOIN want y ON true JOIN hit a ON a.k = x.k JOIN hit b ON b.k = y.k WHERE x.k < y.k")
@@ -1019,7 +1019,7 @@ def k6_pattern_table(kg):
     return K.pattern_table(A.edge_pattern_support(A.typed_edges(kg)))
 
 
-@graph_query("""SELECT 0 AS nth, 'digraph types {' AS value UNION ALL SELECT 2, '}' UNION ALL SELECT DISTINCT 1, '  "' || st || '" -> "' || dt || '" [label="' || p || '"]' FROM te WHERE st <> dt""")
+@graph_query("""SELECT 0 AS nth, 'digraph types {' AS value UNION ALL SELECT 2, '}' UNION ALL SELECT 1, '  "' || st || '" -> "' || dt || '" [label="' || p || '"]' FROM (SELECT st, p, dt FROM te GROUP BY ALL) WHERE st <> dt""")
 def k5_dot(kg):
     return K.dot(A.typed_edges(kg).select("st", "dt", "p").distinct(), "st", "dt", "p", "types")
 
