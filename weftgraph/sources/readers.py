@@ -110,7 +110,7 @@ def entity_pairs(spark: SparkSession, path, sets: bool = False) -> DataFrame:
     """(src, dst) of tab-separated lines; with ``sets`` the second field lists targets between commas."""
     f = spark.read.text(path).where(valid_line(F.col("value"))).select(F.split("value", "\t").alias("f")).where("size(f) >= 2")
     dst = F.get("f", F.lit(1))
-    return f.select(F.trim(F.get("f", F.lit(0))).alias("src"), F.trim(F.explode(F.split(dst, ",")) if sets else dst).alias("dst"))
+    return f.select(F.trim(F.get("f", F.lit(0))).alias("src"), (F.explode(F.split(dst, " *, *")) if sets else F.trim(dst)).alias("dst"))
 
 
 def nlp_blocks(spark: SparkSession, path) -> DataFrame:
