@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-K, WIDTH = 10, 40
+K, WIDTH = 10, 48
 DIRECTIONS, CHUNK, BLOCK = 4, 256, 4096
-ROUNDS, STILL = 12, 0.01
+ROUNDS, STILL = 12, 0.005
 _EDGE = "id long, nbr long, dist float, new boolean"
 
 
