@@ -9,7 +9,7 @@ import pytest
 from weftgraph.llm import ann, bpe, common, language, token_count
 from test_dedup import frame, prose
 
-ODD = [None, "", " \n\t ", "a", "é", "😀 naïve x", "x" * 5000, "foo  bar\r\nbaz's 12,345!!", "ﬀ ß Ž", "日本語 テキスト", "a\x00b"]
+ODD = [None, "", " \n\t ", "a", "é", "😀 naïve x", "x" * 5000, "".join(random.Random(1).choices("abcdeé日", k=9000)), "foo  bar\r\nbaz's 12,345!!", "ﬀ ß Ž", "日本語 テキスト", "a\x00b"]
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +58,8 @@ def test_small_vocabularies():
         text = " ".join("".join(rng.choices("abcdé", k=rng.randint(1, 60))) for _ in range(80))
         data, at = common.utf8(pa.array([text, "", text[:50]]))
         want = [sum(segment(v, w) for w in t.encode().split()) for t in (text, "", text[:50])]
+        long = "".join(rng.choices("abcdé日", k=900)).encode()
+        assert token_count.count_long(v, np.frombuffer(long, np.uint8)) == segment(v, long)
         token_count._known.clear()
         assert token_count.counts(v, data, at).tolist() == want
         assert token_count.counts(v, data, at).tolist() == want  # from what was kept
@@ -100,6 +102,8 @@ def test_merges_leftmost_and_lowest():
     words = ["".join(rng.choices("abc", k=rng.randint(1, 70))) for _ in range(300)]
     ids, many = bpe.encode_tokens(model, words)
     parts = np.split(ids, np.cumsum(many)[:-1])
+    for w in words[:100]:
+        assert bpe._merge_long(model, list(w.encode())) == slow(w.encode())
     assert [p.tolist() for p in parts] == [ranks.get(w.encode()) and [ranks[w.encode()]] or slow(w.encode()) for w in words]
 
 

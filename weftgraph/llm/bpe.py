@@ -25,6 +25,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(1 << 62)
 CACHE_TOKENS = 1_000_000
+LONG = 2048  # pre-tokens of more bytes are worked on one by one
 
 
 @dataclass
@@ -110,6 +111,56 @@ def _merge(model: Bpe, ids: np.ndarray, length: np.ndarray) -> tuple[np.ndarray,
     return ids[alive], alive.sum(axis=1)
 
 
+_pairs: dict[int, dict[int, int]] = {}
+
+
+def _merge_long(model: Bpe, ids: list[int]) -> list[int]:
+    """As ``_merge`` for one long pre-token, with the tree in a list."""
+    key = len(model.pair_keys)
+    if key not in _pairs:
+        _pairs[key] = dict(zip(model.pair_keys.tolist(), model.pair_ids.tolist()))
+    ranks, n, none = _pairs[key], len(ids), int(NONE)
+    width = 1 << max(n - 1, 1).bit_length()
+    bits = width.bit_length()
+    place = (1 << bits) - 1
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    tree = [none] * (2 * width)
+    for i in range(n - 1):
+        r = ranks.get(ids[i] << 32 | ids[i + 1])
+        if r is not None:
+            tree[width + i] = r << bits | i
+    for k in range(width - 1, 0, -1):
+        tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
+    def put(leaf: int, value: int) -> None:
+        k = width + leaf
+        tree[k] = value
+        k >>= 1
+        while k:
+            new = min(tree[2 * k], tree[2 * k + 1])
+            if new == tree[k]:
+                break
+            tree[k] = new
+            k >>= 1
+
+    def pair(i: int) -> int:
+        r = ranks.get(ids[i] << 32 | ids[after[i]]) if after[i] < n else None
+        return none if r is None else r << bits | i
+
+    while tree[1] < none:
+        at, ids_at = tree[1] & place, tree[1] >> bits
+        gone = after[at]
+        ids[at], after[at] = ids_at, after[gone]
+        if after[at] < n:
+            before[after[at]] = at
+        ids[gone] = -1
+        put(gone, none)
+        put(at, pair(at))
+        if before[at] >= 0:
+            put(before[at], pair(before[at]))
+    return [i for i in ids if i >= 0]
+
+
 def encode_tokens(model: Bpe, tokens: list[str], at_once: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """Ids of pre-tokens, one after the other, and how many each has."""
     data, at = utf8(pa.array(tokens, pa.large_string()))
@@ -120,6 +171,11 @@ def encode_tokens(model: Bpe, tokens: list[str], at_once: int = 1 << 19) -> tupl
     many = np.where(whole, 1, 0)
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.flatnonzero(whole), model.whole_ids[i[whole]], np.ones(int(whole.sum()), np.int64))]
     width = 2 ** np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64)
+    for k in np.flatnonzero((size > LONG) & ~whole).tolist():
+        got = np.array(_merge_long(model, model.byte_ids[data[at[k] : at[k + 1]]].tolist()), np.int64)
+        parts.append((np.array([k]), got, np.array([len(got)])))
+        many[k] = len(got)
+    whole = whole | (size > LONG)
     for w in np.unique(width[~whole]).tolist():
         mine = np.flatnonzero((width == w) & ~whole)
         for lo in range(0, len(mine), step := max(1, at_once // w)):

@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, SPACE, powers, prefix, slices, span_hash, words
+from .common import BYTE, SPACE, mix, powers, prefix, slices, span_hash, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SHIFT, UNKNOWN = 2.7, 10.0
 MARK = 0xFF  # stands for the word mark; no UTF-8 text has this byte
-WIDE = 48  # words of more bytes are handled one width class at a time
+WIDE = 48  # words of more bytes are handled in width classes of powers of two
+LONG = 512  # and words of more bytes than this one by one
 CACHE_WORDS = 3_000_000
 
 
@@ -122,18 +123,48 @@ def count_words(vocabulary: Unigram, texts: np.ndarray, length: np.ndarray) -> n
 
 
 def span_hash_rows(sums: np.ndarray, down: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    from .common import mix
-
     return mix((sums[row, end] - sums[row, start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def count_long(vocabulary: Unigram, raw: np.ndarray) -> int:
+    """Tokens of one long word: its pieces are looked up together, the scores are carried along in a plain loop."""
+    text = np.append(np.uint8(MARK), raw)
+    n, sums = len(text), prefix(BYTE[text])
+    inner = np.append((text & 0xC0) != 0x80, True)  # places between characters
+    steps: list[list[tuple[int, float, int]]] = [[] for _ in range(n)]
+    lead = text.astype(np.int64)
+    width = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+    width[0] = 1
+    for k in range(1, min(vocabulary.longest, n) + 1):
+        at = np.arange(n - k + 1)
+        h = span_hash(sums, at, at + k)
+        i = np.minimum(np.searchsorted(vocabulary.keys, h), len(vocabulary.keys) - 1)
+        known = vocabulary.keys[i] == h
+        for a, score in zip(at[known & inner[at + k]].tolist(), vocabulary.scores[i[known & inner[at + k]]].tolist()):
+            steps[a].append((k, score, 1))
+        if k <= 4:
+            for a in at[~known & inner[at] & (width[at] == k) & inner[at + k]].tolist():
+                steps[a].append((k, vocabulary.unknown, 3 if a == 0 else k))
+    best, many = [-np.inf] * (n + 1), [0] * (n + 1)
+    best[0] = 0.0
+    for a in range(n):
+        if best[a] > -np.inf:
+            for k, score, t in steps[a]:
+                s, t = best[a] + score, many[a] + t
+                if s > best[a + k] or (s == best[a + k] and t < many[a + k]):
+                    best[a + k], many[a + k] = s, t
+    return many[n]
+
+
 def _count(vocabulary: Unigram, data: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int = 50_000) -> np.ndarray:
     """Tokens of words given by their place; words of like width are handled together."""
     size = end - start + 1
     out = np.zeros(len(size), np.int64)
     width = np.where(size <= WIDE, -(-size // 12) * 12, 2 ** np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64))
-    for w in np.unique(width).tolist():
-        mine = np.flatnonzero(width == w)
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = count_long(vocabulary, data[start[k] : end[k]])
+    for w in np.unique(width[size <= LONG]).tolist():
+        mine = np.flatnonzero((width == w) & (size <= LONG))
         for lo in range(0, len(mine), step := max(1, at_once * 12 // w)):
             k = mine[lo : lo + step]
             text = np.zeros((len(k), w), np.uint8)
