@@ -7,12 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as C
-from ..kg import KG, TYPE, batch_id, both_ways, relational_kg, table
+from ..kg import TYPE, batch_id, both_ways, relational_kg, table
 from ..operators import filters as FI
 from ..operators import graph as G
 from ..operators import linking as E
