@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BYTE, cut, keyed, long_array, mix, prefix, real_id, slices, span_hash, unused, words
+from .common import BYTE, keyed, long_array, prefix, real_id, slices, span_hash, unused, words
 
 LENGTH, GRAM = 50, 16
 INDEX_WORDS = 400_000
