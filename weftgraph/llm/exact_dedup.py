@@ -1,7 +1,7 @@
 """Exact deduplication by deterministic block naming.
 
 Every text is cut into blocks of a fixed number of characters. The blocks of all documents are sorted
-(range-partitioned), and equal blocks get the same integer name: the partition's number and the block's
+within hash partitions, and equal blocks get the same integer name: the partition's number and the block's
 ordinal in it, so names are unique without a central counter. Adjacent pairs of names are then named in the
 same way, which halves a document's sequence, until one name is left. (level, name) is equal for two
 documents exactly if their texts are equal; no hash takes part in the comparison.
@@ -48,8 +48,8 @@ def _namer(keys: list[str]):
 
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Equal keys come to lie side by side in one range partition and get one name."""
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_namer(keys), _OUT)
+    """Equal keys come to lie side by side in one partition and get one name; nothing is sampled on the driver."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_namer(keys), _OUT)
 
 
 def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
