@@ -1018,7 +1018,7 @@ def k6_pattern_table(kg):
     return K.pattern_table(A.edge_pattern_support(A.typed_edges(kg)))
 
 
-@graph_query("""SELECT 0 AS nth, 'digraph types {' AS value UNION ALL SELECT 2, '}' UNION ALL SELECT 1, '  "' || st || '" -> "' || dt || '" [label="' || p || '"]' FROM (SELECT st, p, dt FROM te GROUP BY ALL) WHERE st <> dt""")
+@graph_query(""", k AS (SELECT p, min(st) AS a, min(dt) AS b FROM te GROUP BY st, p, dt) SELECT 0 AS nth, 'digraph types {' AS value UNION ALL SELECT 2, '}' UNION ALL SELECT 1, '  "' || a || '" -> "' || b || '" [label="' || p || '"]' FROM k WHERE a <> b""")
 def k5_dot(kg):
     return K.dot(A.typed_edges(kg).select("st", "dt", "p").distinct(), "st", "dt", "p", "types")
 
