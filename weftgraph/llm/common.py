@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ID = -(1 << 63)  # stands for a null doc_id inside the operators
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
