@@ -235,6 +235,36 @@ def test_link_prediction(spark):
     assert linkpred.pattern_classifier(svm, ["x"])[1] > 0.95
 
 
+def test_training_beyond_the_sample(spark):
+    rng = np.random.default_rng(4)
+    pos = [(f"u{u:03}", f"i{i:03}") for u in range(120) for i in range(40) if (u + i) % 2 == 0 and rng.random() < 0.8]
+    held = [(f"u{u:03}", f"i{i:03}") for u in range(120) for i in range(40) if (u + i) % 2 == 0 and (f"u{u:03}", f"i{i:03}") not in set(pos)]
+    t, held = (spark.createDataFrame(x, "user string, item string") for x in (pos, held))
+    friends = spark.createDataFrame([(f"u{u:03}", f"u{(u + 2) % 120:03}") for u in range(120)], "user string, friend string")
+    s = linkpred.Settings(factors=8, rate=0.1, epochs=25, sample=100)
+    for near in (None, friends):
+        users, items = linkpred.train(t, s, near)
+        assert {r.user for r in users.collect()} == {u for u, _ in pos} and {r.item for r in items.collect()} == {i for _, i in pos}
+    at = spark.createDataFrame([(k, f"i{k:03}") for k in range(40)], "nth long, item string")
+    got = linkpred._draws(t, at, friends, 3, 0.5, s)
+    assert 0.3 < len(got) / len(pos) < 0.5 and not {*zip(got.user, got.neg)} & set(pos) and not {*zip(got.user, got.social)} & set(pos)
+
+
+def test_evaluation_by_brute_force(spark):
+    rng = random.Random(2)
+    pair = [(f"u{u}", f"i{i}") for u in range(4) for i in range(12)]
+    score = {p: rng.choice([0.1, 0.2, 0.3, 0.4]) for p in pair}
+    test, known = set(rng.sample(pair, 9)), set(rng.sample(pair, 14))
+    per = []
+    for p in test:
+        other = [(score[q], q[1]) for q in pair if q[0] == p[0] and q not in test | known]
+        per.append((sum(x > score[p] or x == score[p] and i < p[1] for x, i in other), len(other)))
+    df = lambda x: spark.createDataFrame(sorted(x), "user string, item string")
+    got = linkpred.evaluate(spark.createDataFrame([(*p, x) for p, x in score.items()], "user string, item string, score double"), df(known), df(test), 3).first()
+    assert got.hr == pytest.approx(np.mean([a < 3 for a, _ in per])) and got.arhr == pytest.approx(np.mean([1 / (a + 1) if a < 3 else 0 for a, _ in per]))
+    assert got.auc == pytest.approx(np.mean([1 - a / n for a, n in per if n]))
+
+
 def test_stream(spark, tmp_path):
     import datetime
 
