@@ -1003,10 +1003,42 @@ def l5_evaluate(spark, d):
     return e.select(*[r6(c).alias(c) for c in ("hr", "arhr", "auc")])
 
 
+def _purchases(spark, d):
+    """(user, item, test): each distinct customer and part over all of lineitem; the pair alone decides its side."""
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    pair = o.join(l, o.o_orderkey == l.l_orderkey).select(F.col("o_custkey").cast("string").alias("user"), F.col("l_partkey").cast("string").alias("item")).distinct()
+    return pair.withColumn("test", C.uniform(F.col("user"), F.col("item"), seed=1) < 0.1)
+
+
+def _part_scores(spark, d):
+    """Every customer and part with a score that SQL can compute too."""
+    c, p = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("user")), table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("item"))
+    return c.crossJoin(p).withColumn("score", C.uniform(F.col("user"), F.col("item")))
+
+
+@query()
+def w3_ranked_parts(spark, d):
+    """As w3_ranked_items, over all customers, parts and lineitems."""
+    return L.ranked(_part_scores(spark, d), _purchases(spark, d).where("not test")).withColumn("score", F.round("score", 9)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""WITH md AS (SELECT "user", item, "user" || '|' || item AS k FROM (SELECT c_custkey::VARCHAR AS "user" FROM customer), (SELECT p_partkey::VARCHAR AS item FROM part)),
+    sc AS (SELECT "user", item, ('0x' || substr(md5(k || '|0'), 1, 8))::BIGINT / 4294967296.0 AS score FROM md),
+    bt AS (SELECT DISTINCT o_custkey::VARCHAR AS "user", l_partkey::VARCHAR AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+    bs AS (SELECT *, ('0x' || substr(md5("user" || '|' || item || '|1'), 1, 8))::BIGINT / 4294967296.0 < 0.1 AS test FROM bt),
+    x AS (SELECT "user", item, score, coalesce(test, false) AS asked FROM sc LEFT JOIN bs USING ("user", item) WHERE coalesce(test, true)),
+    pr AS (SELECT asked, count(*) FILTER (NOT asked) OVER (PARTITION BY "user" ORDER BY score DESC, item) AS above, count(*) FILTER (NOT asked) OVER (PARTITION BY "user") AS others FROM x)
+    SELECT round(avg((above < 10)::INT), 6) AS hr, round(avg(CASE WHEN above < 10 THEN 1.0 / (above + 1) ELSE 0 END), 6) AS arhr, round(avg(CASE WHEN others > 0 THEN 1 - above / others END), 6) AS auc FROM pr WHERE asked""")
+def l5_evaluate_parts(spark, d):
+    """As l5_evaluate, over all customers, parts and lineitems."""
+    b = _purchases(spark, d)
+    e = L.evaluate(_part_scores(spark, d), b.where("not test"), b.where("test"))
+    return e.select(*[r6(c).alias(c) for c in ("hr", "arhr", "auc")])
+
+
 @query()
 def l4_train_and_score(spark, d):
-    b = _bought(spark, d)
-    users, items = L.train(b.where("train and not test"), L.Settings(factors=8, epochs=5))
+    users, items = L.train(_purchases(spark, d).where("not test"), L.Settings(factors=8, epochs=5))
     return L.scores(users, items).withColumn("score", r6("score"))
 
 
