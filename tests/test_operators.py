@@ -107,6 +107,20 @@ def test_mining_grows_from_frequent(spark):
     assert set(got) <= {r.pattern for r in four.collect()}
 
 
+def test_pairs_from_counts(spark):
+    """Pair counts, supports and links without pairs are those of growth, with parallel, opposite and looped edges."""
+    rng = random.Random(9)
+    rows = list({(f"v{rng.randrange(7)}", rng.choice("pq"), f"v{rng.randrange(7)}") for _ in range(40)}) + [("v1", "p", "v1"), ("v1", "q", "v1")]
+    kind = lambda c: F.concat(F.lit("T"), (F.substring(c, 2, 1).cast("int") % 2).cast("string"))
+    one = mining.edge_instances(edges(spark, rows).distinct().withColumn("st", kind("s")).withColumn("dt", kind("o")))
+    grown, links = mining.grow(one)
+    n = {r.pattern: r["count"] for r in grown.groupBy("pattern").count().collect()}
+    assert {r.pattern: r.n for r in mining.pair_counts(one).collect()} == n
+    supports, found = mining.pair_support(one)
+    assert {*map(tuple, supports.collect())} == {*map(tuple, mining.support(grown).collect())}
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, links.collect()))
+
+
 def test_pagerank_and_triangles(spark, rows):
     e = edges(spark, rows)
     link = {(s, o) for s, _, o in rows}

@@ -68,12 +68,56 @@ def grow(instances: DataFrame, shared: str = "vertex", current=None, edge_limit:
     return grown, links
 
 
+def _ends(instances: DataFrame) -> DataFrame:
+    """(at, sig, s, st, o, dt): the edge of each one-edge instance at either of its vertices."""
+    e = instances.select(F.col("edges")[0].alias("e")).select("e.sig", "e.s", "e.st", "e.o", "e.dt")
+    return e.withColumn("at", F.explode(F.array_distinct(F.array("s", "o"))))
+
+
+def _pair_pattern(a: str, b: str):
+    return F.concat_ws(JOINER, F.array_sort(F.array(a, b)))
+
+
+def pair_counts(instances: DataFrame) -> DataFrame:
+    """(pattern, n): how many pairs of one-edge instances share a vertex, from counts a vertex; no pair is formed."""
+    ends = _ends(instances)
+
+    def of(edges: DataFrame, *at: str) -> DataFrame:
+        k = edges.groupBy(*at, "sig").agg(F.count(F.lit(1)).alias("k"))
+        both = k.join(k.select(*at, F.col("sig").alias("sig_b"), F.col("k").alias("k_b")), list(at)).where("sig <= sig_b")
+        n = F.when(F.col("sig") == F.col("sig_b"), F.expr("k * (k - 1) div 2")).otherwise(F.col("k") * F.col("k_b"))
+        return both.select(_pair_pattern("sig", "sig_b").alias("pattern"), n.alias("n"))
+
+    # edges between the same two vertices meet at both
+    twice = ends.where("at = s and s != o").select("sig", F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"))
+    n = of(ends, "at").unionByName(of(twice, "a", "b").withColumn("n", -F.col("n")))
+    return n.groupBy("pattern").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def pair_support(instances: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, support) of pairs of one-edge instances that share a vertex, and (small, joined) pattern pairs, as
+    ``grow`` and ``support`` give them. An edge is in an instance of a pair if another edge of the other pattern is at
+    one of its vertices, so signatures at a vertex are met instead of its edges."""
+    ends = _ends(instances)
+    there = ends.groupBy("at", F.col("sig").alias("other")).agg(F.count(F.lit(1)).alias("k"))
+    met = ends.join(there, "at").where("sig != other or k > 1").select(_pair_pattern("sig", "other").alias("pattern"), "sig", "s", "st", "o", "dt")
+    image = met.select("pattern", F.explode(F.array(F.struct(F.col("st").alias("t"), F.col("s").alias("v")), F.struct(F.col("dt").alias("t"), F.col("o").alias("v")))).alias("x"))
+    count = image.select("pattern", "x.*").distinct().groupBy("pattern", "t").agg(F.count(F.lit(1)).alias("n"))
+    links = met.select(F.col("sig").alias("small"), F.col("pattern").alias("joined")).distinct()
+    return count.groupBy("pattern").agg(F.min("n").alias("support")), links
+
+
 def mine(typed: DataFrame, least: int, largest: int = 2, current=None, edge_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(pattern, size, support) of the frequent patterns of up to about ``largest`` edges, and (small, joined) pairs."""
     size = lambda c: F.size(F.split(c, " \\+ "))
     now = checkpointed(edge_instances(typed))
     counted = support(now)
     now, found, links = frequent_only(now, counted, least), counted.where(F.col("support") >= least), None
+    if doublings(largest) == 1 and current is None and edge_limit is None:
+        counted, links = pair_support(now)
+        counted = checkpointed(counted.where(F.col("support") >= least))
+        links = links.join(counted.select(F.col("pattern").alias("joined")), "joined", "left_semi").select("small", "joined")
+        return found.unionByName(counted).select("pattern", size("pattern").alias("size"), "support"), links
     for turn in range(doublings(largest)):
         new, link = grow(now, "vertex" if turn == 0 else "edge", current, edge_limit)
         new = checkpointed(new)

@@ -174,6 +174,12 @@ def j5_shared_vertex(kg):
     return grown.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
+@graph_query()
+def j5_shared_vertex_whole(kg):
+    """As j5_shared_vertex, over all edges."""
+    return M.pair_counts(M.edge_instances(A.typed_edges(kg)))
+
+
 BATCHED = f"""(SELECT s, p, o, st, dt, sig, max({sql.BATCH}) AS batch FROM te WHERE p = 'placed' GROUP BY ALL)"""
 
 
@@ -463,6 +469,16 @@ def f2_frequent_instances(kg):
     return FI.frequent_only(i, M.support(i), 100).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
+ALL_EDGES = ", i AS (SELECT DISTINCT s, p, o, st, dt, sig FROM te)"
+
+
+@graph_query(ALL_EDGES + ", " + IMAGES.format("i") + " SELECT sig AS pattern, count(*) AS n FROM i JOIN sup ON sup.pattern = i.sig WHERE support >= 100 GROUP BY ALL")
+def f2_frequent_instances_whole(kg):
+    """As f2_frequent_instances, over all edges."""
+    i = M.edge_instances(A.typed_edges(kg))
+    return FI.frequent_only(i, M.support(i), 100).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
 @graph_query(f", b AS (SELECT *, coalesce({sql.BATCH}, -1) AS batch FROM e) SELECT batch, p, count(*) AS n FROM b WHERE batch > 31 - 3 OR batch = -1 GROUP BY ALL")
 def f3_window(kg):
     return X.in_window(X.with_batch(kg.edges), 31, 3).groupBy("batch", "p").agg(F.count(F.lit(1)).alias("n"))
@@ -750,6 +766,42 @@ def g10_pagerank(kg):
     return G.pagerank(kg.edges.where("p not in ('contains', 'shippedBy')"), 5).select("v", r6("rank").alias("rank"))
 
 
+def _mined_whole(kg):
+    return M.mine(A.typed_edges(kg), 20, 2)
+
+
+@graph_query()
+def g6_frequent_patterns_whole(kg):
+    """As g6_frequent_patterns, over all edges."""
+    return _mined_whole(kg)[0]
+
+
+@graph_query(ALL_EDGES + " SELECT s, p, o, sig AS pattern FROM i")
+def g7_edge_instances_whole(kg):
+    """As g7_edge_instances, over all edges."""
+    i = M.edge_instances(A.typed_edges(kg))
+    e = F.col("edges")[0]
+    return i.select(e["s"].alias("s"), F.split_part("pattern", F.lit("|"), F.lit(2)).alias("p"), e["o"].alias("o"), "pattern")
+
+
+@graph_query()
+def g8_dependencies_whole(kg):
+    """As g8_dependencies, over all edges."""
+    return _mined_whole(kg)[1]
+
+
+@graph_query()
+def g9_status_whole(kg):
+    """As g9_status, over all edges."""
+    return M.status(*_mined_whole(kg))
+
+
+@graph_query(sql.pagerank(5, "e") + " SELECT v, round(rank, 6) AS rank FROM r5")
+def g10_pagerank_whole(kg):
+    """As g10_pagerank, over all edges."""
+    return G.pagerank(kg.edges, 5).select("v", r6("rank").alias("rank"))
+
+
 TRI = """u AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (
     SELECT 'c:' || c_custkey AS a, 'n:' || c_nationkey AS b FROM customer UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey FROM supplier
     UNION ALL SELECT 'c:' || o_custkey, 's:' || l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey))"""
@@ -793,6 +845,13 @@ def g14_encode_decode(kg):
     return G.decode_graph(ints, v, p).groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
 
 
+@graph_query("SELECT s, p, o, count(*) AS n FROM e GROUP BY ALL")
+def g14_encode_decode_whole(kg):
+    """As g14_encode_decode, over all edges."""
+    ints, v, p = G.encode_graph(kg.edges)
+    return G.decode_graph(ints, v, p).groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
+
+
 @graph_query(", x AS (SELECT s AS v FROM tr UNION SELECT o FROM e), y AS (SELECT s AS v, array_to_string(list_sort(list(DISTINCT o)), ';;') AS t FROM tr WHERE p = 'rdf:type' GROUP BY s) SELECT x.v, coalesce(degree, 0) AS degree, coalesce(t, 'NONE') AS type_string FROM x LEFT JOIN deg USING (v) LEFT JOIN y USING (v)")
 def g16_vertex_features(kg):
     return A.vertex_features(kg)
@@ -837,6 +896,13 @@ def p4_similar_rank(kg):
     return S.similar_rank(e, G.pagerank(e, 3), 0.3, 0.5).select("s", "p", "o")
 
 
+@graph_query(sql.pagerank(3, "e") + f""", sd AS (SELECT stddev_samp(rank) AS k FROM r3)
+    SELECT s, p, o FROM e JOIN r3 a ON a.v = s JOIN r3 b ON b.v = o, sd WHERE abs(a.rank - b.rank) < 0.5 * k OR {U1} < 0.3""")
+def p4_similar_rank_whole(kg):
+    """As p4_similar_rank, over all edges."""
+    return S.similar_rank(kg.edges, G.pagerank(kg.edges, 3), 0.3, 0.5).select("s", "p", "o")
+
+
 @graph_query(f""", rk AS (SELECT v, row_number() OVER (ORDER BY degree, v) - 1 AS r, count(*) OVER () AS n FROM deg), b AS (SELECT v FROM rk WHERE r < n * 10 / 100.0 OR r > n * 90 / 100.0)
     SELECT s, p, o, ts FROM e WHERE (s IN (SELECT v FROM b) OR o IN (SELECT v FROM b)) AND ({U1} < 0.5 OR {U2} < 0.2)""")
 def p5_rank_range_sample(kg):
