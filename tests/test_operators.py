@@ -249,6 +249,32 @@ def test_link_prediction(spark):
     assert linkpred.pattern_classifier(svm, ["x"])[1] > 0.95
 
 
+@pytest.mark.parametrize("threshold", [0.7, 0.4])
+def test_candidates_lose_none(spark, threshold):
+    rng = random.Random(6)
+    base = ["france", "united kingdom", "ab", "a", "new york city", "customer#000000012", "trinidad and tobago", "éclair", "abcdefghij" * 4, "thirtyonelettersinthisonewordxy"]
+
+    def typo(s):
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(s) + 1)
+            s = s[:at] + rng.choice(["", "x", " ", "q"]) + s[at + rng.randrange(2) :]
+        return s
+
+    said = ["rance", "Xrance", "kited nungdom", "", "_", "brance tobago"] + [typo(b) for b in base for _ in range(12)]
+    names = base + [typo(b) for b in base for _ in range(6)]
+    m = spark.createDataFrame([(x,) for x in said], "mention string")
+    e = spark.createDataFrame([(f"e{k}", x) for k, x in enumerate(names)], "entity string, label string")
+    got, want = (sorted((r.mention, r.entity, round(r.similarity, 9)) for r in f(e, m, threshold).collect()) for f in (linking.candidates, linking.all_pairs))
+    assert got == want and ("rance", "e0", 1.0) in got
+
+
+def test_link_by_another_first_letter(spark):
+    triples = spark.createDataFrame([("d1", "rance", "borders", "pain")], "block string, s string, p string, o string")
+    labels = spark.createDataFrame([("n:1", "france"), ("n:2", "spain")], "entity string, label string")
+    got = {r.mention: r.entity for r in linking.link(triples, labels, edges(spark, [("n:1", "borders", "n:2")])).collect()}
+    assert got == {"rance": "n:1", "pain": "n:2"}
+
+
 def test_training_beyond_the_sample(spark):
     rng = np.random.default_rng(4)
     pos = [(f"u{u:03}", f"i{i:03}") for u in range(120) for i in range(40) if (u + i) % 2 == 0 and rng.random() < 0.8]

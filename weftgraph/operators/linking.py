@@ -12,6 +12,8 @@ from ..functions.scalars import compatibility, dice, phrase_similarity, relatedn
 from .stats import neighbour_sets
 
 NEW_ENTITY = "new: "
+#: Tokens longer than this are compared with all of a length that can match, as their parts would be too many.
+LONG = 32
 
 
 def mentions(triples: DataFrame, block: str = "block") -> DataFrame:
@@ -19,15 +21,76 @@ def mentions(triples: DataFrame, block: str = "block") -> DataFrame:
     return triples.select(block, F.explode(F.array("s", "o")).alias("mention")).distinct()
 
 
+def _token_parts(word: str, threshold: float) -> list[tuple[int, int, int, str]]:
+    """(length, other length, place, part): the word cut into one part more than the edits that a match with a word of
+    the other length may have, for each other length that can match; one part at least is in that word unchanged."""
+    n, out = len(word), []
+    for m in range(1, _longest_match(n, threshold) + 1):
+        k = _edits(n, m, threshold)
+        if k < abs(n - m):
+            continue
+        if max(n, m) > LONG:
+            out.append((n, m, -1, ""))
+            continue
+        cuts = [n * i // (k + 1) for i in range(k + 2)]
+        out += [(n, m, a, word[a:z]) for a, z in zip(cuts, cuts[1:])]
+    return list(set(out))
+
+
+def _token_windows(word: str, threshold: float) -> list[tuple[int, int, int, str]]:
+    """As ``_token_parts`` of words of other lengths, wherever their parts may lie in this word."""
+    m, out = len(word), set()
+    for n in range(1, _longest_match(m, threshold) + 1):
+        k = _edits(n, m, threshold)
+        if k < abs(n - m):
+            continue
+        if max(n, m) > LONG:
+            out.add((n, m, -1, ""))
+            continue
+        cuts = [n * i // (k + 1) for i in range(k + 2)]
+        for a, z in zip(cuts, cuts[1:]):
+            for at in range(max(0, a - k), min(m - (z - a), a + k) + 1):
+                out.add((n, m, a, word[at : at + z - a]))
+    return list(out)
+
+
+def _edits(n: int, m: int, threshold: float) -> int:
+    """The most edits d with (1 - d / n) + (1 - d / m) >= 2 * threshold, rounded up where that is near."""
+    return int(2 * (1 - threshold) * n * m / (n + m) + 1e-6)
+
+
+def _longest_match(n: int, threshold: float) -> int:
+    """No longer word can match one of n letters, as the difference in length alone is too many edits."""
+    m = n
+    while _edits(n, m + 1, threshold) >= m + 1 - n:
+        m += 1
+    return m
+
+
+def _similar_tokens(words: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """(t, u): all pairs of a token of ``words`` (t) and one of ``others`` (u) that match by edit distance, and some more."""
+
+    def keys(df, c, cut):
+        kind = "array<struct<n:int,m:int,place:int,part:string>>"
+        make = F.pandas_udf(lambda x: pd.Series([[dict(zip(("n", "m", "place", "part"), k)) for k in cut(w, threshold)] for w in x]), kind)
+        return df.select(c, F.explode(make(c)).alias("key")).select(c, "key.*")
+
+    return keys(words, "t", _token_parts).join(keys(others, "u", _token_windows), ["n", "m", "place", "part"]).select("t", "u").distinct()
+
+
 def candidates(entities: DataFrame, mention: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(mention, entity, similarity): entities (entity, label) whose phrase similarity reaches the threshold.
 
-    Pairs come from shared tokens or shared first letters of tokens (a match by edit distance of 0.7 may differ in the
-    first letter; use ``all_pairs`` for those), so there is no cross join of all vertices and mentions.
+    The same as ``all_pairs`` for a threshold above 0: phrases of that similarity share a token, or two of their tokens match
+    by edit distance. Such tokens have one of a few parts in common at nearly the same place, so they are found by a
+    join of distinct tokens and there is no cross join of all vertices and mentions.
     """
     m = mention.select("mention").distinct()
-    key = lambda c: F.explode(F.array_distinct(F.transform(tokens(F.col(c)), lambda t: F.substring(t, 1, 1)))).alias("key")
-    pair = m.select("mention", key("mention")).join(entities.select("entity", "label", key("label")), "key").select("mention", "entity", "label").distinct()
+    has = lambda df, c, name: df.select(c, F.explode(F.array_distinct(tokens(F.col(c)))).alias(name))
+    said, named = has(m, "mention", "t"), has(entities.select("label").distinct(), "label", "u")
+    # phrase_similarity matches tokens by the default threshold, whatever is asked of the phrases
+    same = _similar_tokens(said.select("t").distinct(), named.select("u").distinct(), 0.7)
+    pair = said.join(same, "t").join(named, "u").select("mention", "label").distinct().join(entities.select("entity", "label"), "label")
     return _scored(pair, threshold)
 
 
