@@ -119,12 +119,22 @@ def k1_pattern_file(spark, d):
 @query(sql.kg(Q._paths(Q.NATIONS, "SELECT s, p, o FROM e WHERE p = 'inRegion'", 2)))
 def k4_decoded_paths(spark, d):
     kg = relational_kg(spark, d)
-    e = kg.only("inRegion").edges
+    return _decoded(kg, kg.only("inRegion").edges, 2)
+
+
+@query()
+def k4_decoded_paths_whole(spark, d):
+    """As k4_decoded_paths, over all edges and paths of up to four of them."""
+    kg = relational_kg(spark, d)
+    return _decoded(kg, kg.edges, 4)
+
+
+def _decoded(kg, e, longest):
     ints, v, p = G.encode_graph(e)
     text = ints.select(*[F.col(c).cast("string").alias(c) for c in "spo"])
     ids = v.select(F.col("label").alias("src"), F.col("id").cast("string").alias("a"))
     pairs = Q._nation_pairs(kg).join(ids, "src").join(ids.select(F.col("src").alias("dst"), F.col("a").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return P.rendered(K.decoded_paths(P.simple_paths(pairs, P.adjacency(text), 2), v, p))
+    return P.rendered(K.decoded_paths(P.simple_paths(pairs, P.adjacency(text), longest), v, p))
 
 
 @query(sql.kg(", " + Q.COOCCUR.split("WITH ", 1)[1] + " SELECT a || ' , ' || b || ' , ' || n AS value FROM p"))

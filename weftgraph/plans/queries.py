@@ -665,6 +665,16 @@ def g1_simple_paths(kg):
     return P.rendered(P.simple_paths(_nation_pairs(kg), adj, 4))
 
 
+def _nation_paths(kg, longest=4):
+    return P.simple_paths(_nation_pairs(kg), P.adjacency(kg.edges), longest)
+
+
+@graph_query()
+def g1_simple_paths_whole(kg):
+    """As g1_simple_paths, over all edges."""
+    return P.rendered(_nation_paths(kg))
+
+
 LOCAL = """SELECT 'c:' || c_custkey AS src, 's:' || s_suppkey AS dst FROM customer JOIN supplier ON c_nationkey = s_nationkey"""
 
 
@@ -682,8 +692,11 @@ def g2_degree_filtered_paths(kg):
 
 def _topic_kg(spark, d):
     """Nations and regions of the relational graph, with the topic of the vector of their key."""
-    kg = relational_kg(spark, d).only("inRegion")
-    v = kg.edges.select(F.explode(F.array("s", "o")).alias("v")).distinct().withColumn("k", F.split_part("v", F.lit(":"), F.lit(2)).cast("long"))
+    return _with_topics(spark, d, relational_kg(spark, d).only("inRegion"))
+
+
+def _with_topics(spark, d, kg):
+    v = kg.edges.select(F.explode(F.array("s", "o")).alias("v")).distinct().withColumn("k", F.split_part("v", F.lit(":"), F.lit(2)).try_cast("long"))
     return kg, v.join(_topics(spark, d).select(F.col("v").alias("k"), "topic"), "k").select("v", "topic")
 
 
@@ -709,6 +722,20 @@ def g3_source_topic_paths(spark, d):
     return P.rendered(P.simple_paths(_nation_pairs(kg), P.adjacency(kg.edges), 4, topics, 0.0052))
 
 
+@query()
+def g3_topic_paths_whole(spark, d):
+    """As g3_topic_paths, over all edges; a vertex without a vector passes."""
+    kg, topics = _with_topics(spark, d, relational_kg(spark, d))
+    return P.rendered(P.simple_paths(_nation_pairs(kg), P.adjacency(kg.edges, topics=topics, divergence=0.0052), 4))
+
+
+@query()
+def g3_source_topic_paths_whole(spark, d):
+    """As g3_source_topic_paths, over all edges; a vertex without a vector passes."""
+    kg, topics = _with_topics(spark, d, relational_kg(spark, d))
+    return P.rendered(P.simple_paths(_nation_pairs(kg), P.adjacency(kg.edges), 4, topics, 0.0052))
+
+
 @graph_query(", want AS (SELECT DISTINCT substr(v, 1, 3) AS k FROM mt WHERE type IN ('nation', 'region')), hit AS (SELECT k, min(v) AS v FROM want JOIN deg ON starts_with(lower(deg.v), k) GROUP BY k) SELECT a.v AS src, b.v AS dst FROM want x JOIN want y ON true JOIN hit a ON a.k = x.k JOIN hit b ON b.k = y.k WHERE x.k < y.k")
 def g4_matched_pairs(kg):
     want = kg.main_type.where("type in ('nation', 'region')").select(F.substring("v", 1, 3).alias("src")).distinct()
@@ -725,6 +752,15 @@ def g5_path_scores(kg):
     return P.rendered(scored).join(scored, ["src", "dst", "length"]).select("src", "dst", "line", r6("specificity").alias("specificity")).distinct()
 
 
+@graph_query()
+def g5_path_scores_whole(kg):
+    """As g5_path_scores, over all edges and paths of up to four of them."""
+    scored = P.path_scores(_nation_paths(kg), kg.edges)
+    key = F.concat_ws("\t", F.col("dst"), F.col("specificity").cast("string"))
+    lines = P.rendered(scored.withColumn("dst", key))
+    return lines.select("src", F.split_part("dst", F.lit("\t"), F.lit(1)).alias("dst"), "line", r6(F.split_part("dst", F.lit("\t"), F.lit(2)).cast("double")).alias("specificity")).distinct()
+
+
 MINE = PAIRS + """, """ + IMAGES.format("i") + """, f1 AS (SELECT * FROM sup WHERE support >= 20),
   fp AS (SELECT pp.* FROM pp JOIN f1 a ON a.pattern = sig1 JOIN f1 b ON b.pattern = sig2),
   ii AS (SELECT DISTINCT pattern, t, v FROM (SELECT fp.pattern, unnest([{'t': x.st, 'v': x.s}, {'t': x.dt, 'v': x.o}, {'t': y.st, 'v': y.s}, {'t': y.dt, 'v': y.o}]) AS q FROM fp
@@ -1128,6 +1164,12 @@ def k3_labelled_paths(kg):
     return K.labelled_paths(P.simple_paths(_nation_pairs(kg), P.adjacency(e), 2))
 
 
+@graph_query()
+def k3_labelled_paths_whole(kg):
+    """As k3_labelled_paths, over all edges and paths of up to four of them."""
+    return K.labelled_paths(_nation_paths(kg))
+
+
 @graph_query("SELECT '<' || s || '>  <' || p || '>  <' || o || '>' AS value FROM tr")
 def k8_turtle(kg):
     return K.turtle(kg.triples)

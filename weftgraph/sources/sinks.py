@@ -40,15 +40,17 @@ def labelled_paths(df: DataFrame) -> DataFrame:
 
 
 def decoded_paths(df: DataFrame, vertices: DataFrame, predicates: DataFrame) -> DataFrame:
-    """Paths (src, dst, length, path) of ids as paths of labels, by dictionaries (id, label)."""
+    """Paths (src, dst, length, path) of ids as paths of labels, by dictionaries (id, label); equal paths stay apart."""
+    df = df.groupBy("src", "dst", "length", "path").agg(F.count(F.lit(1)).alias("copies"))
     key = F.xxhash64("src", "dst", F.to_json("path")).alias("k")
-    step = df.select(key, "src", "dst", "length", F.posexplode("path").alias("pos", "e")).select("k", "src", "dst", "length", "pos", "e.*")
+    step = df.select(key, "src", "dst", "length", "copies", F.posexplode("path").alias("pos", "e")).select("k", "src", "dst", "length", "copies", "pos", "e.*")
     name = lambda d, c: d.select(F.col("id").cast("string").alias(c), F.col("label").alias(c + "_label"))
     step = step.join(name(predicates, "p"), "p", "left").join(name(vertices, "v"), "v", "left")
     entry = F.struct("pos", F.coalesce("p_label", "p").alias("p"), "out", F.coalesce("v_label", "v").alias("v"))
-    whole = step.groupBy("k", "src", "dst", "length").agg(F.array_sort(F.collect_set(entry)).alias("path"))
+    whole = step.groupBy("k", "src", "dst", "length", "copies").agg(F.array_sort(F.collect_set(entry)).alias("path"))
     for c in ("src", "dst"):
         whole = whole.join(name(vertices, c), c, "left").withColumn(c, F.coalesce(c + "_label", c)).drop(c + "_label")
+    whole = whole.withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
     return whole.select("src", "dst", "length", F.transform("path", lambda e: F.struct(e["p"].alias("p"), e["out"].alias("out"), e["v"].alias("v"))).alias("path"))
 
 
