@@ -169,3 +169,14 @@ def test_neighbours(spark):
     few = ann.nearest(table.where("vec_id < 4 and embedding is not null"), 10, 30).collect()
     assert {(r.vec_id, r.neighbour) for r in few} == {(a, b) for a in range(4) for b in range(4) if a != b}
     assert ann.nearest(table.where("vec_id = 3")).collect() == []
+
+
+def test_search_expands_the_whole_list(spark):
+    """The nearest vertex is linked from the last of twelve entry points only."""
+    point = {0: 0.0, **{i: float(i) for i in range(1, 13)}, 99: 0.5}
+    vecs = ann.vectors(spark.createDataFrame([(i, [x, 0.0]) for i, x in point.items()], "vec_id long, embedding array<float>"))
+    edge = "id long, nbr long, dist float, new boolean"
+    pool = spark.createDataFrame([(0, i, float(i * i), True) for i in range(1, 13)], edge)
+    graph = spark.createDataFrame([(12, 99, 132.25, False)], edge)
+    got = ann.search(vecs.where("id = 0"), pool, graph, vecs, width=12).orderBy("dist").collect()
+    assert got[0].nbr == 99 and len(got) == 12

@@ -234,16 +234,16 @@ def _measure(width: int):
     return run
 
 
-def search(queries: DataFrame, pool: DataFrame, graph: DataFrame, vecs: DataFrame, k: int = K, width: int = WIDTH, at_once: int = 5) -> DataFrame:
+def search(queries: DataFrame, pool: DataFrame, graph: DataFrame, vecs: DataFrame, width: int = WIDTH, at_once: int = 5) -> DataFrame:
     """(id, nbr, dist, new): greedy search for ``queries`` (id, vec) from the entry points in ``pool`` (as the result).
 
-    The nearest ``at_once`` unexpanded vertices among a query's best ``k`` are expanded, until none is left.
+    The nearest ``at_once`` unexpanded vertices among a query's best ``width`` are expanded, until none is left.
     """
     blocks = -(-max(queries.count(), 1) // BLOCK)
     near = W.partitionBy("id").orderBy("dist", "nbr")
     while True:
         ranked = pool.withColumn("nth", F.row_number().over(near))
-        open_ = ranked.where(F.col("new") & (F.col("nth") <= k)).withColumn("turn", F.row_number().over(near)).where(F.col("turn") <= at_once)
+        open_ = ranked.where(F.col("new") & (F.col("nth") <= width)).withColumn("turn", F.row_number().over(near)).where(F.col("turn") <= at_once)
         open_ = cut(open_.select(F.col("id").alias("v"), F.col("nbr").alias("c")))
         if open_.isEmpty():
             return pool
@@ -269,7 +269,7 @@ def nearest(table: DataFrame, k: int = K, width: int = WIDTH, id_column: str = "
     """
     vecs = cut(vectors(table, id_column, column))
     graph = neighbour_graph(vecs, width)
-    pool = search(vecs, graph.withColumn("new", F.lit(True)), graph, vecs, k, width)
+    pool = search(vecs, graph.withColumn("new", F.lit(True)), graph, vecs, width)
     rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "nbr"))
     best = pool.select("id", "nbr", "dist", rank.alias("rank")).where(F.col("rank") <= k)
     return best.select(F.col("id").alias("vec_id"), F.col("nbr").alias("neighbour"), "rank", F.sqrt(F.col("dist").cast("double")).alias("distance"))
