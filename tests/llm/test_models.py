@@ -80,6 +80,21 @@ def test_patterns_against_bound():
         assert times.sum() <= np.ceil(bound - 1e-6) + len(sizes) and times.sum() >= bound - 1e-6
 
 
+def test_every_class_in_a_spark_driver(spark):
+    """The production number of classes, beside a running session and without settings for threads."""
+    assert spark.range(1000).selectExpr("sum(id) AS n").first().n == 499500
+    sizes, demand = np.arange(1, packing.CAPACITY // packing.GRAIN + 1), np.random.default_rng(0).integers(1, 5000, packing.CAPACITY // packing.GRAIN)
+    table, times, bound = packing.patterns(sizes, demand, len(sizes))
+    assert (table @ sizes <= len(sizes)).all() and ((table * times[:, None]).sum(0) == demand).all()
+    assert bound - 1e-6 <= times.sum() <= bound + len(sizes)
+
+
+def test_inverse():
+    a = np.random.default_rng(1).standard_normal((40, 40))
+    a[0, 0] = 0
+    assert np.allclose(packing._inverse(a) @ a, np.eye(40))
+
+
 def test_knapsack():
     import itertools
 

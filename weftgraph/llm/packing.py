@@ -42,23 +42,54 @@ def best_pattern(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), pattern
 
 
-def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Patterns (rows), how often each is used, and the linear program's bound; the uses meet the demand exactly."""
+def _inverse(basis: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan steps over whole rows. A driver calls this, so no BLAS: its threads and Spark's can wait for each other."""
+    m = len(basis)
+    both = np.hstack([basis, np.eye(m)])
+    for k in range(m):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, m:]
+
+
+def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, refresh: int = 64) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (rows), how often each is used, and the linear program's bound; the uses meet the demand exactly.
+
+    The basis is kept as its inverse, which an exchanged column changes by one product; it is computed afresh every
+    ``refresh`` exchanges. Columns are taken in until none has a lower cost, the bound is within half a sequence, or
+    rounding leaves nothing to gain.
+    """
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)  # columns are patterns
-    x, bound = demand / np.diag(basis), 0.0
-    for _ in range(50 * m + 100):
-        inverse = np.linalg.inv(basis)
-        x = np.maximum(inverse @ demand, 0)
+    inverse, bound, turn, stuck, least = np.diag(1 / np.diag(basis)), 0.0, 0, 0, np.inf
+    while True:
+        x = np.maximum((inverse * demand).sum(axis=1), 0)
         dual = inverse.sum(axis=0)
         gain, column = best_pattern(sizes, dual, capacity)
-        bound = max(bound, float(dual @ demand) / max(gain, 1.0))
+        bound = max(bound, float((dual * demand).sum()) / max(gain, 1.0))
         if gain <= 1 + 1e-9 or x.sum() - bound < 0.5:
             break
-        step = inverse @ column
+        stuck = 0 if x.sum() < least - 1e-9 else stuck + 1
+        least = min(least, x.sum())
+        if stuck > 4 * m:  # only exchanges of columns that aren't used: rounding holds it at an optimum
+            break
+        step = (inverse * column).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, x / step, np.inf)
-        basis[:, ratio.argmin()] = column
+        out = int(ratio.argmin())
+        basis[:, out] = column
+        turn += 1
+        if turn % refresh == 0:
+            inverse = _inverse(basis)
+        else:
+            row = inverse[out] / step[out]
+            inverse = inverse - step[:, None] * row
+            inverse[out] = row
+    x = np.maximum((_inverse(basis) * demand).sum(axis=1), 0)
     used, left = np.floor(x + 1e-9).astype(np.int64), demand.astype(np.int64).copy()
     table, times = [], []
     for k in np.flatnonzero(used):
