@@ -65,6 +65,29 @@ def test_small_vocabularies():
         assert token_count.counts(v, data, at).tolist() == want  # from what was kept
 
 
+def test_two_vocabularies_in_one_worker():
+    """Equal pieces with other scores, and models of as many pairs, have answers of their own."""
+    data, at = common.utf8(pa.array(["abab abc", "cab"]))
+    one, two = token_count.unigram(["▁", "a", "b", "c", "ab", "▁ab"]), token_count.unigram(["▁", "ab", "▁ab", "a", "c", "b"], unknown=1.0)
+    for v in (one, two, one, two):
+        assert token_count.counts(v, data, at).tolist() == [sum(segment(v, w) for w in t.split()) for t in (b"abab abc", b"cab")]
+    base = {bytes([b]): b for b in range(256)}
+    first, second = bpe.bpe(base | {b"ab": 256}), bpe.bpe(base | {b"cd": 256})
+    text = ["abcd" * 900, "abcd"]
+    for model in (first, second, first):
+        ids, many = bpe._encoder_of(model).encode(text)
+        back, end = bpe.decode_ids(model, ids, many)
+        assert back.tobytes().decode() == "".join(text)
+    assert bpe._merge_long(first, list(b"abcd")) == [256, 99, 100] and bpe._merge_long(second, list(b"abcd")) == [97, 98, 256]
+
+
+def test_decode_outside_the_vocabulary(spark):
+    model = bpe.bpe({bytes([b]): b for b in range(256)})
+    rows = [(1, [104, 105]), (2, [104, 999]), (3, [-1]), (4, None), (5, []), (6, [104, None]), (7, [0xC3])]
+    got = {r.doc_id: r.text for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, token_ids array<int>"), model).collect()}
+    assert got == {1: "hi", 2: None, 3: None, 4: None, 5: "", 6: None, 7: "\ufffd"}
+
+
 @pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason="no vocabulary")
 def test_bpe(spark, texts):
     import tiktoken

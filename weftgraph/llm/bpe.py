@@ -4,7 +4,8 @@ Each pre-token has a tree whose leaves are its positions; a leaf holds the rank
 with the position below it, and a node the least of its children. The root so yields the leftmost pair of lowest
 rank; a merge changes three leaves and the paths above them, and encoding ends when the root holds no pair.
 Trees of like width are worked on together, as rows of a numpy array: one step merges the best pair of every
-pre-token that still has one. Workers keep the pre-tokens they have met.
+pre-token that still has one. A pre-token of more than ``LONG`` bytes has the same tree in a list of its own, so
+that its time is in proportion to its merges. Workers keep the pre-tokens they have met.
 
 Encoding and decoding are one pass over every whole text each, without a shuffle.
 """
@@ -12,6 +13,8 @@ Encoding and decoding are one pass over every whole text each, without a shuffle
 from __future__ import annotations
 
 import base64
+import hashlib
+from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +41,20 @@ class Bpe:
     whole_ids: np.ndarray
     byte_ids: np.ndarray
     pattern: str = PATTERN
+    digest: bytes = b""  # of all that decides an encoding
+
+    def __post_init__(self):
+        if not self.digest:
+            parts = [x.tobytes() for x in (self.token_bytes, self.token_at, self.pair_keys, self.pair_ids, self.byte_ids)]
+            self.digest = hashlib.sha256(b"".join([*parts, self.pattern.encode()])).digest()
+
+    def pair_ranks(self) -> dict[int, int]:
+        if "_ranks" not in self.__dict__:
+            self._ranks = dict(zip(self.pair_keys.tolist(), self.pair_ids.tolist()))
+        return self._ranks
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_ranks"}
 
 
 def bpe(ranks: dict[bytes, int], pattern: str = PATTERN) -> Bpe:
@@ -111,15 +128,9 @@ def _merge(model: Bpe, ids: np.ndarray, length: np.ndarray) -> tuple[np.ndarray,
     return ids[alive], alive.sum(axis=1)
 
 
-_pairs: dict[int, dict[int, int]] = {}
-
-
 def _merge_long(model: Bpe, ids: list[int]) -> list[int]:
     """As ``_merge`` for one long pre-token, with the tree in a list."""
-    key = len(model.pair_keys)
-    if key not in _pairs:
-        _pairs[key] = dict(zip(model.pair_keys.tolist(), model.pair_ids.tolist()))
-    ranks, n, none = _pairs[key], len(ids), int(NONE)
+    ranks, n, none = model.pair_ranks(), len(ids), int(NONE)
     width = 1 << max(n - 1, 1).bit_length()
     bits = width.bit_length()
     place = (1 << bits) - 1
@@ -234,21 +245,27 @@ def decode_ids(model: Bpe, ids: np.ndarray, many: np.ndarray) -> tuple[np.ndarra
     return data, upto[np.append(0, np.cumsum(many))]
 
 
-_encoder: dict[tuple, Encoder] = {}
+_encoder: OrderedDict[bytes, Encoder] = OrderedDict()  # by model; the last two used stay
+MODELS = 2
+
+
+def _encoder_of(model: Bpe) -> Encoder:
+    _encoder[model.digest] = _encoder.pop(model.digest, None) or Encoder(model)
+    while len(_encoder) > MODELS:
+        _encoder.popitem(last=False)
+    return _encoder[model.digest]
 
 
 def encode(docs: DataFrame, model: Bpe) -> DataFrame:
     """(doc_id, token_ids, n_tokens, round_trip) for every row; round_trip says that decoding gives back the text.
 
-    A null text has null in all three, an empty one no ids. Null doc_ids and repeated rows pass through row by
-    row; further columns are not read.
+    A null text has null in all three, an empty one no ids. Texts of any length are encoded whole; of pairs of
+    equal rank the leftmost is merged first. Null doc_ids and repeated rows pass through row by row; further columns
+    are not read; an empty table gives no rows.
     """
 
     def run(batches):
-        key = (len(model.token_at), model.pattern, int(model.pair_keys.sum()))
-        if key not in _encoder:
-            _encoder[key] = Encoder(model)
-        coder = _encoder[key]
+        coder = _encoder_of(model)
         for batch in batches:
             for part, data, at in slices(batch):
                 text = part.column("text")
@@ -270,15 +287,21 @@ def encode(docs: DataFrame, model: Bpe) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: Bpe) -> DataFrame:
-    """(doc_id, text) from (doc_id, token_ids); null ids give a null text."""
+    """(doc_id, text) from (doc_id, token_ids); a null list, and one with a null or an id outside the vocabulary, gives a null text.
+
+    Ids that don't make up UTF-8 give U+FFFD in its place. An empty list gives an empty text.
+    """
 
     def run(batches):
         for b in batches:
             lists = b.column("token_ids")
             many = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            data, end = decode_ids(model, lists.flatten().to_numpy(zero_copy_only=False), many)
+            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            null = lists.is_null().to_numpy(zero_copy_only=False).copy()
+            wrong = (ids < 0) | (ids >= len(model.token_at) - 1)
+            null[np.repeat(np.arange(len(b)), many)[wrong]] = True
+            data, end = decode_ids(model, np.where(wrong, 0, ids), many)
             text = [data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(end[:-1], end[1:])]
-            null = lists.is_null().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(text, object), pa.string(), mask=null)], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("token_ids").cast("array<int>").alias("token_ids")).mapInArrow(run, "doc_id long, text string")

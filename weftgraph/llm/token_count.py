@@ -5,7 +5,8 @@ total score. The distinct words of a task are sorted, so that their trie is impl
 the word before doesn't share. The forward score of a node (best score of any segmentation of that prefix, and
 its number of pieces) is computed once for all words below it; nodes of one depth are computed together in
 numpy. The count at a word's last node is kept, and a text's count is the sum over its words. Workers keep the
-counts of words they have met.
+counts of words they have met. A word of more than ``LONG`` bytes is a trie of one path: the same forward scores
+are carried along it in a plain loop, so its time is in proportion to its length.
 
 Scores: the vocabulary is ordered by frequency, and a piece of rank r has log probability -log(r + shift)
 (Zipf's law). A character that is no piece costs ``unknown`` less than the worst piece and counts as one token
@@ -14,6 +15,8 @@ per UTF-8 byte, as with byte fallback. Of equal scores the one of fewer tokens i
 
 from __future__ import annotations
 
+import hashlib
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,6 +43,10 @@ class Unigram:
     longest: int
     unknown: float
     pieces: dict[bytes, float] = field(default_factory=dict, repr=False)
+    digest: bytes = b""  # of all that decides a count
+
+    def __post_init__(self):
+        self.digest = self.digest or hashlib.sha256(self.keys.tobytes() + self.scores.tobytes() + repr((self.longest, self.unknown)).encode()).digest()
 
 
 def unigram(pieces: list[str], shift: float = SHIFT, unknown: float = UNKNOWN) -> Unigram:
@@ -177,7 +184,8 @@ def _count(vocabulary: Unigram, data: np.ndarray, start: np.ndarray, end: np.nda
     return out
 
 
-_known: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+_known: OrderedDict[bytes, tuple[np.ndarray, np.ndarray]] = OrderedDict()  # by vocabulary; the last two used stay
+VOCABULARIES = 2
 
 
 def counts(vocabulary: Unigram, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -185,8 +193,7 @@ def counts(vocabulary: Unigram, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     start, end, first = words(data, at, SPACE)
     h = span_hash(prefix(BYTE[data]), start, end)
     distinct, sample, inverse = np.unique(h, return_index=True, return_inverse=True)
-    tag = float(vocabulary.keys[0])
-    keys, values = _known.get(tag, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    keys, values = _known.pop(vocabulary.digest, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     i = np.searchsorted(keys, distinct)
     met = (keys[np.minimum(i, len(keys) - 1)] == distinct) if len(keys) else np.zeros(len(distinct), bool)
     n = np.zeros(len(distinct), np.int64)
@@ -194,10 +201,12 @@ def counts(vocabulary: Unigram, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     new = sample[~met]
     n[~met] = _count(vocabulary, data, start[new], end[new])
     if len(keys) + len(new) > CACHE_WORDS:
-        keys, values = keys[:0], values[:0]
-    keys, values = np.concatenate([keys, distinct[~met]]), np.concatenate([values, n[~met]])
-    order = np.argsort(keys, kind="stable")
-    _known[tag] = keys[order], values[order]
+        keys, values, i = keys[:0], values[:0], np.zeros_like(i)
+    if len(new):  # both are sorted, so the new ones are put in place without another sort
+        keys, values = np.insert(keys, i[~met], distinct[~met]), np.insert(values, i[~met], n[~met])
+    _known[vocabulary.digest] = keys, values
+    while len(_known) > VOCABULARIES:
+        _known.popitem(last=False)
     total = np.append(0, np.cumsum(n[inverse]))
     return total[first[1:]] - total[first[:-1]]
 
@@ -205,9 +214,10 @@ def counts(vocabulary: Unigram, data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def token_counts(docs: DataFrame, vocabulary: Unigram) -> DataFrame:
     """(doc_id, n_tokens) for every row; null for a null text, 0 for one without words.
 
-    Null doc_ids and repeated rows pass through row by row; further columns are not read.
+    Texts of any length are counted whole; of segmentations of equal score the one of fewer tokens counts. Null
+    doc_ids and repeated rows pass through row by row; further columns are not read; an empty table gives no rows.
     """
-    small = Unigram(vocabulary.keys, vocabulary.scores, vocabulary.longest, vocabulary.unknown)
+    small = Unigram(vocabulary.keys, vocabulary.scores, vocabulary.longest, vocabulary.unknown, digest=vocabulary.digest)
 
     def run(batches):
         for batch in batches:
