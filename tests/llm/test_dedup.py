@@ -66,6 +66,26 @@ def test_exact_stage(spark, corpus):
     assert {r.doc_id for r in kept if r.text == corpus[3][1]} == {3}
 
 
+def test_exact_stage_ties(spark):
+    """Rows of one doc_id and text that differ elsewhere: the least one stays, in whatever order they come."""
+    columns = "doc_id long, text string, `a``b` string, row map<string,int>, rank int"
+    rows = [(1, "t", "B", {"x": 1}, 5), (1, "t", "A", {"x": 2}, 9), (1, "t", None, {"x": 3}, None), (1, "t", None, {"x": 2}, None), (2, "t", "A", None, 1), (3, None, "n", None, 1), (3, None, "n", None, 1)]
+    for order in (rows, rows[::-1]):
+        out = exact_dedup.drop_exact_duplicates(spark.createDataFrame(order, columns).repartition(3))
+        assert out.columns == ["doc_id", "text", "a`b", "row", "rank"]
+        got = sorted((r.doc_id, r["a`b"], r["row"]) for r in out.where("text is not null").collect())
+        assert got == [(1, None, {"x": 2})] and out.count() == 3
+
+
+def test_hot_blocks(spark, monkeypatch):
+    """A text that most rows have, in blocks that are salted at every level."""
+    rows = [(i, "ab" * 30 if i % 4 else f"{i} " * 9) for i in range(6000)] + [(5, "ab" * 30)] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.exact_duplicates(docs, 7)
+    assert sorted((r.doc_id, r.duplicate_of, r.copies) for r in got.collect()) == [(i, 1, 4500) for i in range(2, 6000) if i % 4]
+    assert exact_dedup.drop_exact_duplicates(docs, 7).count() == 1501
+
+
 def brute_windows(rows, length):
     where = collections.defaultdict(set)
     docs = documents(rows)

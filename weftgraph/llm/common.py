@@ -6,6 +6,8 @@ polynomial over random byte values, so a whole batch is hashed by one cumulative
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -14,28 +16,70 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NO_ID = -(1 << 63)  # stands for a null doc_id inside the operators
 SLICE_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session gets one that goes with the process; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="weftgraph-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this session wrote."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def column(name: str):
+    """The column of exactly this name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame):
+    """All columns of ``df`` as one struct."""
+    return F.struct(*[column(c) for c in df.columns])
+
+
+def unpacked(df: DataFrame, row: str, names: list[str]) -> DataFrame:
+    return df.select(*[F.col(row).getField(c).alias(c) for c in names])
+
+
+def in_order(df: DataFrame) -> list:
+    """Sort keys by all columns of ``df``, in their order; a column without an order is compared by its JSON."""
+    def ordered(t: T.DataType) -> bool:
+        if isinstance(t, T.StructType):
+            return all(ordered(f.dataType) for f in t.fields)
+        return ordered(t.elementType) if isinstance(t, T.ArrayType) else isinstance(t, T.AtomicType) or isinstance(t, T.NullType)
+
+    return [column(f.name) if ordered(f.dataType) else F.to_json(F.struct(column(f.name))) for f in df.schema.fields]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder that all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    rows = df.checkpoint(eager=True)._jdf.queryExecution().toRdd()
+    # a checkpoint keeps the size that was estimated for its plan; over rounds of joins that estimate is squared again and again
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` (null as NO_ID), ``tag`` (hash of the text) and ``text``: rows that repeat both
-    doc_id and text are one document, rows that share only the doc_id are different ones."""
+    doc_id and text are one document, rows that share only the doc_id are different ones.
+
+    Ids must be integers of at most 64 bits; the least of all, -2**63, is taken for null."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.xxhash64("text").alias("tag"),

@@ -8,48 +8,79 @@ documents exactly if their texts are equal; no hash takes part in the comparison
 
 The text itself is shuffled once; all later rounds move integers only. The number of rounds is the logarithm
 of the longest document's number of blocks.
+
+Blocks and pairs that many rows share are salted: such a key gets as many salts as it has shares of a quarter
+partition, its rows are named under each salt apart, and the names of one key are unified. Which keys are hot is
+decided by counts of a 64-bit hash, which takes no part in the names. At most ``2 * SHARES`` keys and salts a
+partition come of this, so the two small tables that are broadcast have a proven bound.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, real_id, unused
+from .common import cut, in_order, keyed, packed, real_id, unpacked
 
 BLOCK_CHARS = 2048
-_OUT = "doc_id long, tag long, pos int, name long"
+SHARES = 4
+_OUT = "doc_id long, tag long, pos int, most int, name long, first boolean"
 
 
 def _namer(keys: list[str]):
+    """Names sorted rows; ``first`` marks one row of each name of a salted key, and only that one carries the key."""
+
     def run(batches):
         from pyspark import TaskContext
 
         name, last = (TaskContext.get().partitionId() << 33) - 1, None
+        by = [*keys, "salt"]
         for b in batches:
             if not len(b):
                 continue
-            columns = [b.column(k) for k in keys]
             change = np.zeros(len(b), bool)
-            for c in columns:
+            for k in by:
+                c = b.column(k)
                 if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
                     c = c.dictionary_encode().indices
                 x = c.to_numpy(zero_copy_only=False)
                 change[1:] |= x[1:] != x[:-1]
-            change[0] = last != tuple(c[0].as_py() for c in columns)
+            change[0] = last != tuple(b.column(k)[0].as_py() for k in by)
             names = name + np.cumsum(change)
-            name, last = int(names[-1]), tuple(c[-1].as_py() for c in columns)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), b.column("pos"), pa.array(names)], ["doc_id", "tag", "pos", "name"])
+            name, last = int(names[-1]), tuple(b.column(k)[-1].as_py() for k in by)
+            first = pa.array(change & (b.column("salt").to_numpy() > 0))
+            shown = [pc.if_else(first, b.column(k), pa.scalar(None, b.column(k).type)) for k in keys]
+            rest = [b.column(c) for c in ("doc_id", "tag", "pos", "most")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(names), first, *shown], ["doc_id", "tag", "pos", "most", "name", "first", *keys])
 
     return run
 
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Equal keys come to lie side by side in one partition and get one name; nothing is sampled on the driver."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_namer(keys), _OUT)
+    """(doc_id, tag, pos, most, name): equal keys come to lie side by side in one partition and get one name."""
+    spark = rows.sparkSession
+    near = F.xxhash64(*keys)
+    counts = cut(rows.groupBy(near.alias("near")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(total // (SHARES * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)), 1000)
+    hot = counts.where(F.col("n") > least).select("near", F.expr(f"cast(n div {least} as int) + 1").alias("salts"))
+    some = not hot.isEmpty()
+    if some:
+        salt = F.coalesce(F.expr("cast(pmod(xxhash64(doc_id, tag, pos, spark_partition_id()), salts) as int) + 1"), F.lit(0))
+        salted = rows.withColumn("near", near).join(F.broadcast(hot), "near", "left").withColumn("salt", salt)
+    else:
+        salted = rows.withColumn("salt", F.lit(0))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    named = salted.select("doc_id", "tag", "pos", "most", *keys, "salt").repartition(*keys, "salt").sortWithinPartitions(*keys, "salt")
+    named = cut(named.mapInArrow(_namer(keys), f"{_OUT}, {kinds}"))
+    if not some:
+        return named.select("doc_id", "tag", "pos", "most", "name")
+    one = named.where("first").groupBy(*keys).agg(F.min("name").alias("one"), F.collect_set("name").alias("names")).where("size(names) > 1")
+    one = one.select("one", F.explode("names").alias("name")).where("one != name")  # no more than salts
+    return named.join(F.broadcast(one), "name", "left").select("doc_id", "tag", "pos", "most", F.coalesce("one", "name").alias("name"))
 
 
 def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -58,56 +89,55 @@ def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     An empty text is one empty block. A null doc_id is NO_ID here.
     """
     cuts = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % block_chars), F.lit(0))
-    rows = (
-        keyed(docs)
-        .where("text is not null")
-        .select("doc_id", "tag", F.posexplode(F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(cuts)).alias("pos", "block"))
-    )
-    named, done, level = cut(_named(rows, ["block"])), [], 0
+    blocks = keyed(docs).where("text is not null").select("doc_id", "tag", F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(cuts).alias("blocks"))
+    rows = blocks.select("doc_id", "tag", (F.size("blocks") - 1).alias("most"), F.posexplode("blocks").alias("pos", "block"))
+    named, done, level = _named(rows, ["block"]), [], 0
     while True:
         doc = ["doc_id", "tag"]
-        sized = named.withColumn("most", F.max("pos").over(W.partitionBy(*doc)))
-        done.append(sized.where("most = 0").select(*doc, F.lit(level).alias("level"), "name").distinct())
-        rest = sized.where("most > 0").groupBy(*doc, F.expr("cast(pos div 2 as int)").alias("pos")).agg(
+        done.append(named.where("most = 0").select(*doc, F.lit(level).alias("level"), "name").distinct())
+        rest = named.where("most > 0").groupBy(*doc, F.expr("cast(pos div 2 as int)").alias("pos"), F.expr("cast(most div 2 as int)").alias("most")).agg(
             F.coalesce(F.max(F.when(F.expr("pos % 2 = 0"), F.col("name"))), F.lit(-1)).alias("a"),
             F.coalesce(F.max(F.when(F.expr("pos % 2 = 1"), F.col("name"))), F.lit(-1)).alias("b"),
         )
-        named, level = cut(_named(rest, ["a", "b"])), level + 1
-        if named.isEmpty():
+        rest = cut(rest)
+        if rest.isEmpty():
             break
+        named, level = _named(rest, ["a", "b"]), level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return cut(out)
+
+
+def _groups(ids: DataFrame) -> DataFrame:
+    """(level, name, least, tag, copies) of each text, from partial aggregates."""
+    return ids.groupBy("level", "name").agg(F.min("doc_id").alias("least"), F.min("tag").alias("tag"), F.count(F.lit(1)).alias("copies"))
 
 
 def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, duplicate_of, copies): every document whose text another with a smaller doc_id has, that
     smallest doc_id, and how many documents have the text.
 
-    Null texts equal nothing. Empty texts equal each other. Rows that repeat doc_id and text count once; a
-    null doc_id sorts first and stays null. An empty table gives no rows; further columns are not read.
+    Null texts equal nothing. Empty texts equal each other. Texts of any length are compared whole. Rows that repeat
+    doc_id and text count once; a null doc_id sorts first and stays null. An empty table gives no rows; further
+    columns are not read.
     """
-    same = W.partitionBy("level", "name")
-    return (
-        identities(docs, block_chars)
-        .select("doc_id", F.min("doc_id").over(same).alias("duplicate_of"), F.count(F.lit(1)).over(same).alias("copies"))
-        .where("doc_id != duplicate_of")
-        .select(real_id(), real_id("duplicate_of"), "copies")
-    )
+    ids = identities(docs, block_chars)
+    groups = cut(_groups(ids).where("copies > 1").drop("tag"))  # its own shuffle, so that AQE can split a hot group in the join
+    both = ids.join(groups, ["level", "name"]).where("doc_id != least")
+    return both.select(real_id(), F.col("least").alias("duplicate_of"), "copies").select("doc_id", real_id("duplicate_of"), "copies")
 
 
 def drop_exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with one row of each text: that of the smallest doc_id, once even if the row is repeated.
+    """``docs`` with one row of each text: that of the smallest doc_id. Of rows that share doc_id and text the one
+    that is least in its columns, taken in the order of ``docs`` (nulls first), stays.
 
-    Rows with a null text all stay. The columns are those of ``docs``.
+    Rows with a null text all stay; empty texts equal each other; texts of any length are compared whole. The columns
+    are those of ``docs``, whatever their names. An empty table stays empty.
     """
-    best = W.partitionBy("level", "name").orderBy("doc_id")
-    keep = identities(docs, block_chars).withColumn("nth", F.row_number().over(best)).where("nth = 1").select("doc_id", "tag")
-    row, key, tag, nth = (unused(docs, x) for x in ("row", "key", "tag", "nth"))
-    packed = keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)).select(
-        F.col("doc_id").alias(key), F.col("tag").alias(tag), row, F.col("text").isNull().alias(nth)
-    )
-    kept = packed.where(~F.col(nth)).join(keep.select(F.col("doc_id").alias(key), F.col("tag").alias(tag)), [key, tag])
-    kept = kept.withColumn(nth, F.row_number().over(W.partitionBy(key, tag).orderBy(F.lit(0)))).where(F.col(nth) == 1)
-    return kept.select(f"{row}.*").unionByName(packed.where(F.col(nth)).select(f"{row}.*"))
+    keep = _groups(identities(docs, block_chars)).select(F.col("least").alias("doc_id"), "tag")
+    rows = keyed(docs, packed(docs).alias("row"), F.struct(*in_order(docs.drop("text"))).alias("rank"))
+    # repeated rows go before the shuffle, so that one row many times over is no hot key
+    one = rows.where("text is not null").groupBy("doc_id", "tag").agg(F.min_by("row", "rank").alias("row"))
+    kept = one.join(keep, ["doc_id", "tag"]).select("row")
+    return unpacked(kept.unionByName(rows.where("text is null").select("row")), "row", docs.columns)
