@@ -171,10 +171,10 @@ def test_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((1500, 12)).astype(np.float32)
     x[100:110] = x[100]
-    rows = [(int(i), v.tolist(), int(i), 1) for i, v in enumerate(x)]
-    extra = [(None, x[0].tolist(), 0, 0), (5000, None, 0, 0), (5001, [], 0, 0), (5002, [None] * 12, 0, 0), (5003, [float("nan")] * 12, 0, 0), rows[7]]
-    table = spark.createDataFrame(rows + extra, "vec_id long, embedding array<float>, id long, block int").repartition(3)
-    got = ann.nearest(table, 10, 30).collect()
+    rows = [(int(i), v.tolist(), int(i), 1, "c") for i, v in enumerate(x)]
+    odd = [(None, x[0].tolist()), (5000, None), (5001, []), (5002, [None] * 12), (5003, [float("nan")] * 12), (5004, [float("inf")] * 12), (5005, [1.0] * 11), (5006, [1e30] * 12)]
+    table = spark.createDataFrame(rows + [(i, v, 0, 0, "c") for i, v in odd] + [rows[7]], "vec_id long, embedding array<float>, id long, block int, code string").repartition(3)
+    got = ann.nearest(table, 10).collect()
     d = ((x[:, None].astype(float) - x[None]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
     by = {}
@@ -185,21 +185,46 @@ def test_neighbours(spark):
     for i, rs in by.items():
         rs.sort(key=lambda r: r["rank"])
         assert [r["rank"] for r in rs] == list(range(1, 11))
-        assert [r.distance for r in rs] == pytest.approx(np.sqrt([d[i, r.neighbour] for r in rs]), abs=2e-2)
-        hit += sum(r.distance <= np.sqrt(np.sort(d[i])[9]) + 1e-3 for r in rs)
-    assert hit >= 0.9 * 15000
+        assert [r.distance for r in rs] == pytest.approx(np.sqrt([d[i, r.neighbour] for r in rs]), abs=1e-5)
+        assert all((a.distance, a.neighbour) < (b.distance, b.neighbour) for a, b in zip(rs, rs[1:]))
+        hit += sum(r.distance <= np.sqrt(np.sort(d[i])[9]) + 1e-6 for r in rs)
+    assert hit >= 0.95 * 15000
+    some = ann.nearest(table, 10, queries="id % 50 = 0").collect()
+    assert {r.vec_id for r in some} == set(range(0, 1500, 50)) and len(some) == 300
     assert ann.nearest(table.limit(0)).collect() == []
-    few = ann.nearest(table.where("vec_id < 4 and embedding is not null"), 10, 30).collect()
+    few = ann.nearest(table.where("vec_id < 4 and embedding is not null"), 10).collect()
     assert {(r.vec_id, r.neighbour) for r in few} == {(a, b) for a in range(4) for b in range(4) if a != b}
     assert ann.nearest(table.where("vec_id = 3")).collect() == []
 
 
+def test_equal_vectors(spark):
+    """A third of all rows is one vector: its rows are each other's neighbours, and the others lose none."""
+    x = np.random.default_rng(8).standard_normal((900, 8)).astype(np.float32)
+    x[:300] = x[0]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(table, 5).collect()
+    assert len(got) == 4500 and all(r.distance == 0 and r.neighbour < 300 for r in got if r.vec_id < 300)
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert np.mean([r.distance**2 <= np.sort(d[r.vec_id])[4] + 1e-5 for r in got]) > 0.95
+
+
 def test_search_expands_the_whole_list(spark):
     """The nearest vertex is linked from the last of twelve entry points only."""
     point = {0: 0.0, **{i: float(i) for i in range(1, 13)}, 99: 0.5}
     vecs = ann.vectors(spark.createDataFrame([(i, [x, 0.0]) for i, x in point.items()], "vec_id long, embedding array<float>"))
-    edge = "id long, nbr long, dist float, new boolean"
-    pool = spark.createDataFrame([(0, i, float(i * i), True) for i in range(1, 13)], edge)
-    graph = spark.createDataFrame([(12, 99, 132.25, False)], edge)
-    got = ann.search(vecs.where("id = 0"), pool, graph, vecs, width=12).orderBy("dist").collect()
-    assert got[0].nbr == 99 and len(got) == 12
+    a, b = np.array([0] * 12 + [12]), np.array([*range(1, 13), 99])
+    lists = spark.createDataFrame(pa.Table.from_batches([ann._lists(a, b, (np.array([point[i] for i in b]) - np.array([point[i] for i in a])) ** 2)]).to_pandas(), ann._LIST)
+    found = ann.search(vecs.where("id = 0"), ann._kept(vecs, lists, 12), 12, pool=12, at_once=5).first()
+    e, _ = ann._packed(pa.array([bytes(found.blob)], pa.binary()), ann.ENTRY)
+    assert e["nbr"][0] == 99 and len(e) == 12 and not e["new"].any()
+
+
+def test_codes_and_packing():
+    x = np.random.default_rng(1).standard_normal((50, 9)).astype(np.float32)
+    x[3] = 0
+    rows = ann.encode(x)
+    back = ann._decode(ann._blobs(rows.reshape(-1), np.full(50, rows.shape[1])))
+    assert np.abs(back - x).max() <= np.abs(x).max() / 250
+    e, n = ann._packed(pa.array([None, b"", bytes(26), None, bytes(13)], pa.binary()).slice(1), ann.ENTRY)
+    assert n.tolist() == [0, 2, 0, 1] and len(e) == 3
