@@ -58,6 +58,75 @@ def test_risk_is_not_negative():
     assert m.weights[500] > 1 and m.bias < 0
 
 
+def test_risk_and_gradient():
+    """Both parts by their definition, and the gradients by differences."""
+    rng = np.random.default_rng(4)
+    dense = [rng.random((n, 6)) < 0.4 for n in (9, 14)]
+    sets = [(*[x.astype(np.int64) for x in np.nonzero(d)], len(d)) for d in dense]
+    w, prior = rng.standard_normal(7), 0.3
+
+    def parts(w):
+        zp, zu = (d @ w[:-1] + w[-1] for d in dense)
+        plus = prior * np.mean(np.log(1 + np.exp(-zp)))
+        return plus, np.mean(np.log(1 + np.exp(zu))) - prior * np.mean(np.log(1 + np.exp(zp)))
+
+    got = toxicity.risk(w, *sets, prior)
+    assert got[:2] == pytest.approx(parts(w))
+    for k in range(7):
+        e = np.zeros(7)
+        e[k] = 1e-5
+        for part in (0, 1):
+            assert got[2 + part][k] == pytest.approx((parts(w + e)[part] - parts(w - e)[part]) / 2e-5, abs=1e-6)
+
+
+def test_samples_are_bounded(spark):
+    """One labelled id on very many rows is one document; ids that aren't there take no place."""
+    rows = [(1, "vilx text")] * 3000 + [(1, f"vilx {k}") for k in range(50)] + [(k, f"plain words {k}") for k in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), *[(k, 1, 0) for k in range(2, 60)], *[(k, 0, 1) for k in range(1000, 9000)]], "doc_id long, quality int, toxic int")
+    seen = []
+    fit, nnpu = quality.fit, toxicity.nnpu
+    quality.fit, toxicity.nnpu = lambda *x: seen.append(x) or fit(*x), lambda *x: seen.append(x) or nnpu(*x)
+    try:
+        quality.train(docs, labels, per_class=20)
+        quality.train(docs, labels, per_class=20, sample_bytes=100)
+        toxicity.train(docs, labels, positives=30, unlabelled=40)
+        toxicity.train(docs, labels, positives=30, unlabelled=40, sample_bytes=200)
+    finally:
+        quality.fit, toxicity.nnpu = fit, nnpu
+    assert [len(x) for x in seen[0]] == [20, 20]
+    assert all(sum(map(len, x)) <= 100 for x in seen[1]) and all(len(x) for x in seen[1])
+    assert [len(x) for x in seen[2][:2]] == [30, 40]
+    assert all(sum(r.nbytes for r in x) <= 200 for x in seen[3][:2]) and all(len(x) for x in seen[3][:2])
+
+
+def test_quality_against_plain_sizes(spark):
+    """Differences are those of one compressor a text, made anew; ties and long texts."""
+    import zstandard as zstd
+
+    rng = random.Random(9)
+    texts = [prose(rng, n) for n in (1, 30, 200, 30000)] + ["", "same", "same"]
+    good, bad = ([prose(random.Random(s + k), 60).encode() for k in range(300)] for s in (100, 900))
+    model = quality.fit(good, [x.upper() for x in bad])
+    want = []
+    for t in texts:
+        size = []
+        for d in (model.bad, model.good):
+            c = zstd.ZstdCompressor(level=quality.LEVEL, dict_data=zstd.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+            size.append(len(c.compress(t.encode())))
+        want.append((size[0] - size[1]) / max(len(t.encode()), 1))
+    got = sorted(quality.score(frame(spark, list(enumerate(texts))), model).collect())
+    assert [r.difference for r in got] == pytest.approx(want, abs=0.02)
+    assert [r.score for r in got] == pytest.approx([1 / (1 + np.exp(-(model.slope * r.difference + model.offset))) for r in got])
+    assert got[5].score == got[6].score
+
+
+def test_both_labels_are_none(spark, labelled):
+    docs, labels = labelled
+    both = labels.unionByName(labels.selectExpr("doc_id", "1 - quality AS quality", "toxic"))
+    assert {r.score for r in quality.score(docs, quality.train(docs, both)).where("doc_id < 600").collect()} == {0.5}
+
+
 def test_quality(spark, labelled):
     docs, labels = labelled
     got = quality.score(docs, quality.train(docs, labels)).collect()

@@ -163,10 +163,53 @@ def test_mixture_likelihood_rises():
     p = rng.dirichlet(np.ones(language.GRAMS) * 0.01, 2).T + 1e-9
     m = language.Model(["a", "b"], np.log(p / p.sum(0)).astype(np.float32))
     gram = np.concatenate([rng.choice(language.GRAMS, 900, p=p[:, 0] / p[:, 0].sum()), rng.choice(language.GRAMS, 300, p=p[:, 1] / p[:, 1].sum())])
-    share = language.infer(m, np.zeros(1200, np.int64), gram, 1, np.array([1202]), rounds=30)
+    share = language.infer(m, np.zeros(1200, np.int64), gram, 1, np.array([1202]), settled=1e-4)
     assert abs(share[0, 0] - 0.75) < 0.05 and share.sum() == pytest.approx(1)
 
 
+def test_language_against_all_subsets():
+    """Three languages: exhaustive search over every set, each with EM of its own."""
+    import itertools
+
+    rng = np.random.default_rng(11)
+    p = rng.dirichlet(np.ones(language.GRAMS) * 0.02, 3).T + 1e-9
+    m = language.Model(["a", "b", "c"], np.log(p / p.sum(0)).astype(np.float32))
+    draws = [[1, 0, 0], [0, 1, 0], [0.6, 0, 0.4], [0, 0.5, 0.5], [0.34, 0.33, 0.33], [0.95, 0, 0.05], [0, 0, 1]] * 3
+    row, gram, length = [], [], []
+    for k, mix in enumerate(draws):
+        n = 60 if k < 7 else 900
+        g = [rng.choice(language.GRAMS, p=p[:, j] / p[:, j].sum()) for j in rng.choice(3, n, p=mix)]
+        row, gram, length = row + [k] * n, gram + g, length + [n + 2]
+    row, gram, length = np.array(row), np.array(gram), np.array(length)
+    got = language.infer(m, row, gram, len(draws), length, settled=1e-4)
+    q = np.exp(m.log_p.astype(float))
+    same = 0
+    for k in range(len(draws)):
+        x = q[gram[row == k]]
+        best = (-np.inf, None)
+        for size in (1, 2, 3):
+            for langs in itertools.combinations(range(3), size):
+                share = np.full(size, 1 / size)
+                for _ in range(3000):
+                    joint = x[:, langs] * share
+                    share = (joint / joint.sum(1, keepdims=True)).mean(0)
+                gain = np.log(x[:, langs] @ share).sum() / 3 - language.PENALTY * np.log(length[k]) * (size - 1)
+                best = max(best, (gain, langs, tuple(share)), key=lambda t: t[0])
+        want = np.zeros(3)
+        want[list(best[1])] = best[2]
+        assert set(np.flatnonzero(got[k])) == set(best[1])
+        assert np.abs(got[k] - want).max() < 0.02
+        same += 1
+    assert same == len(draws)
+
+
+def test_language_ties_and_long_texts(spark):
+    docs = [(1, "abc " * 50, "y"), (2, "abc " * 50, "x"), (3, "abc " * 50, None), (3, "abc " * 50, None), (4, "abc " * 200_000, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = language.identify(frame, language.train(frame)).collect()
+    assert len(got) == 5 and all(r.languages == ["x"] and r.proportions == [1.0] for r in got)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((1500, 12)).astype(np.float32)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +101,23 @@ def unused(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def sampled(docs: DataFrame, wanted: DataFrame | None, many: int, seed: int) -> DataFrame:
+    """(doc_id, tag) of ``many`` distinct documents with a text at most, in the order of a hash; of those in ``wanted`` (doc_id) if given.
+
+    They are drawn among the documents that are there, so ids of ``wanted`` that ``docs`` lacks take no place."""
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"), F.col("text").isNotNull().alias("there"))
+    keys = keys.where("there and doc_id is not null").select("doc_id", "tag")
+    if wanted is not None:
+        keys = keys.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    return keys.distinct().orderBy(F.xxhash64("doc_id", "tag", F.lit(seed)), "doc_id", "tag").limit(many)
+
+
+def within(df: DataFrame, size, bound: int, *order: str) -> DataFrame:
+    """The first rows of a bounded number of rows, in order, whose sizes add up to ``bound`` at most."""
+    upto = F.sum(size).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return df.withColumn("upto", upto).where(F.col("upto") <= bound).drop("upto")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

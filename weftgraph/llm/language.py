@@ -1,7 +1,8 @@
 """Languages of multilingual documents by expectation-maximisation over n-gram likelihoods.
 
 Every language has a distribution over hashed byte trigrams of lower-case text, counted over all documents that
-carry its label. A document is a mixture: its proportions are found by EM over the likelihoods of its trigrams.
+carry its label. A document is a mixture: its proportions are found by EM over the likelihoods of its trigrams,
+which goes on for a document until none of them moves by more than ``settled`` in a round.
 All languages start in the mixture; the least one is taken out again and again, and of these nested sets the one
 of greatest penalised likelihood is selected. A trigram overlaps its neighbours, so the log likelihood is divided
 by three; each further language costs ``penalty`` times the logarithm of the text's length.
@@ -20,7 +21,7 @@ from .common import slices
 from .near_dedup import lowered
 
 GRAMS = 1 << 15
-SMOOTH, PENALTY, ROUNDS = 0.5, 2.0, 8
+SMOOTH, PENALTY, SETTLED = 0.5, 2.0, 0.01  # EM ends for a document when no proportion moves by more than SETTLED
 
 
 @dataclass
@@ -69,60 +70,76 @@ def train(docs: DataFrame) -> Model:
     return Model(names, np.log(count / count.sum(axis=0)).astype(np.float32))
 
 
-def infer(model: Model, row: np.ndarray, gram: np.ndarray, n_rows: int, length: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> np.ndarray:
+def _em(p: np.ndarray, weight: np.ndarray, start: np.ndarray, share: np.ndarray, settled: float) -> np.ndarray:
+    """Proportions after EM; ``start`` bounds the trigrams of each row, none of which is empty. Rows that have settled are left out of further rounds."""
+    share, size = share.copy(), np.diff(start)
+    total = np.add.reduceat(weight, start[:-1])[:, None]
+    rows, p, weight = np.arange(len(size)), p, weight
+    at = start[:-1]
+    while len(rows):
+        joint = p * np.repeat(share[rows], size, axis=0)
+        joint *= (weight / np.maximum(joint.sum(axis=1), 1e-30))[:, None]
+        new = np.add.reduceat(joint, at, axis=0) / total
+        moved = np.abs(new - share[rows]).max(axis=1) > settled
+        share[rows] = new
+        if moved.sum() <= 0.7 * len(rows):
+            keep = np.repeat(moved, size)
+            rows, size, total, p, weight = rows[moved], size[moved], total[moved], p[keep], weight[keep]
+            at = np.cumsum(size) - size
+    return share
+
+
+def infer(model: Model, row: np.ndarray, gram: np.ndarray, n_rows: int, length: np.ndarray, settled: float = SETTLED, penalty: float = PENALTY) -> np.ndarray:
     """Proportions (rows, languages) under the selected set; rows without a trigram are zero."""
     L = len(model.languages)
+    out = np.zeros((n_rows, L), np.float32)
+    if not len(row):
+        return out
     key, weight = np.unique(row * GRAMS + gram, return_counts=True)
     row, gram = key // GRAMS, key % GRAMS
     weight = weight.astype(np.float32) / 3
-    start = np.searchsorted(row, np.arange(n_rows + 1))
-    some = np.flatnonzero(np.diff(start))
+    start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    some = row[start]  # the rows that have trigrams
+    start = np.append(start, len(row))
+    size, n = np.diff(start), len(some)
     log_p = model.log_p[gram]
     top = log_p.max(axis=1)
     p = np.exp(log_p - top[:, None])
-    total = np.zeros(n_rows, np.float32)
-    total[some] = np.add.reduceat(weight, start[some])
-    base = np.zeros(n_rows)
-    base[some] = np.add.reduceat(weight * top, start[some])
-    share = np.full((n_rows, L), 1 / L, np.float32)
-    best, chosen = np.full(n_rows, -np.inf), np.zeros((n_rows, L), np.float32)
-    cost = penalty * np.log(np.maximum(length, 2))
-    for size in range(L, 0, -1):
-        if size == 1:
-            like = np.zeros((n_rows, L), np.float32)
-            like[some] = np.add.reduceat(weight[:, None] * log_p, start[some], axis=0)
-            # the single language is free to be any one
+    base = np.add.reduceat((weight * top).astype(np.float64), start[:-1])
+    share = np.full((n, L), 1 / L, np.float32)
+    best, chosen = np.full(n, -np.inf), np.zeros((n, L), np.float32)
+    cost = penalty * np.log(np.maximum(length[some], 2))
+    for k in range(L, 0, -1):
+        if k == 1:
+            like = np.add.reduceat(weight[:, None] * log_p, start[:-1], axis=0)
+            # the single language is free to be any one; of equal ones the first by name
             one = like.argmax(axis=1)
-            share = np.zeros((n_rows, L), np.float32)
-            share[np.arange(n_rows), one] = 1
-            fit = like[np.arange(n_rows), one]
+            share = np.zeros((n, L), np.float32)
+            share[np.arange(n), one] = 1
+            fit = like[np.arange(n), one]
         else:
-            for _ in range(rounds):
-                joint = p * share[row]
-                mix = joint.sum(axis=1)
-                joint *= (weight / np.maximum(mix, 1e-30))[:, None]
-                share[some] = np.add.reduceat(joint, start[some], axis=0) / total[some, None]
-            fit = np.zeros(n_rows)
-            fit[some] = np.add.reduceat(weight * np.log(np.maximum((p * share[row]).sum(axis=1), 1e-30)), start[some])
-            fit += base
-        gain = fit - (size - 1) * cost
-        better = gain > best
+            share = _em(p, weight, start, share, settled)
+            fit = base + np.add.reduceat(weight * np.log(np.maximum((p * np.repeat(share, size, axis=0)).sum(axis=1), 1e-30)), start[:-1])
+        gain = fit - (k - 1) * cost
+        better = gain >= best  # of equally good sets the smaller
         best[better], chosen[better] = gain[better], share[better]
-        if size > 1:
+        if k > 1:
             low = np.where(share > 0, share, np.inf).argmin(axis=1)
             share = share.copy()
-            share[np.arange(n_rows), low] = 0
+            share[np.arange(n), low] = 0
             share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-30)
-    chosen[np.diff(start) == 0] = 0
-    return chosen
+    out[some] = chosen
+    return out
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, language, languages, proportions) for every row: the main language, all of them by descending
     proportion (ties by name), and their proportions.
 
-    Null texts, texts under three bytes and a model without languages give a null language and empty arrays.
-    Null doc_ids and repeated rows pass through row by row; further columns are not read.
+    Null texts, texts under three bytes and a model without languages give a null language and empty arrays. Texts of
+    any length are read whole; of sets that fit equally well the smaller is taken, of single languages the first by
+    name. Null doc_ids and repeated rows pass through row by row; an empty table gives no rows; further columns are
+    not read.
     """
 
     def run(batches):
