@@ -2,15 +2,19 @@
 
 A document is its set of lower-case three-word shingles (punctuation ignored; a document of one or two words is
 one shingle). Each shingle's hash picks one of 128 buckets; a bucket keeps its least value as a 16-bit float:
-the count of leading zeros and the 10 bits after the first one. Four neighbouring registers are one band, a
-64-bit integer, so banding needs no further hashing. Empty registers borrow from others (optimal densification)
-for banding only. All members of a bucket of a band are compared with its most central member: first by the
-share of equal registers, corrected by the collisions that two unrelated sets of these sizes would have, then
-by exact Jaccard similarity of their shingle sets. Buckets whose members are then still in different components
-are gone through once more, comparing those members with each other. No bucket is capped, and one of n copies
-costs n comparisons.
-
-Sets that are equal are one node from the start, so thousands of exact copies are one row in all of this.
+the count of leading zeros and the 10 bits after the first one. Three neighbouring registers and the number of
+their band are one 64-bit integer, so banding needs no further hashing. Empty registers borrow from others (optimal
+densification) for banding only. Two sets of Jaccard similarity 0.5 share one of the 42 bands with probability 0.996.
+
+All members of a bucket are compared with its most central member: first by the share of equal registers, corrected
+by the collisions that two unrelated sets of these sizes would have, then by exact Jaccard similarity of their
+shingle sets. Where members still lie in different components, the next central member is the leader of another
+round; after ``STARS`` rounds all those members are compared with each other, in blocks of about ``BLOCK``. So any
+two sets that share a band are compared or already lie in one component: no bucket is capped and no pair is skipped.
+One of n copies costs n comparisons.
+
+Sets that are equal are one node from the start, so thousands of exact copies are one row in all of this. Counts,
+leaders and least roots of a bucket come from partial aggregates; a hot bucket is split by AQE in the joins.
 """
 
 from __future__ import annotations
@@ -19,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BYTE, NOT_ALNUM, cut, keyed, long_array, mix, prefix, real_id, slices, span_hash, unused, words
+from .common import BYTE, NOT_ALNUM, cut, keyed, long_array, mix, packed, prefix, real_id, slices, span_hash, unpacked, words
 
-REGISTERS, MANTISSA, BAND = 128, 10, 4
+REGISTERS, MANTISSA, BAND = 128, 10, 3
+STARS, BLOCK = 2, 512
 THRESHOLD = 0.5
 MARGIN = 0.15  # over three standard deviations of the estimate with 128 registers
 _EMPTY = np.uint16(0xFFFF)
@@ -86,6 +90,16 @@ def densified(regs: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """(rows, bands): the registers of a band behind its number; what is left over after the last band isn't used."""
+    many = REGISTERS // BAND
+    part = regs[:, : many * BAND].reshape(len(regs), many, BAND).astype(np.uint64)
+    key = np.broadcast_to(np.arange(many, dtype=np.uint64), part.shape[:2]).copy()
+    for k in range(BAND):
+        key = key << np.uint64(16) | part[:, :, k]
+    return key
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Jaccard similarity from registers, without the collisions to be expected of unrelated sets."""
     some = (a != _EMPTY) | (b != _EMPTY)
@@ -107,7 +121,7 @@ def _signatures(batches):
         for part, data, at in slices(lowered(batch)):
             sets = shingle_sets(data, at)
             regs = registers(sets)
-            bands = densified(regs).reshape(len(sets), -1, BAND).copy().view(np.uint64).reshape(len(sets), -1)
+            bands = band_keys(densified(regs))
             width = bands.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -133,8 +147,8 @@ def _estimated(batches):
 def _verified(batches):
     for b in batches:
         out = np.zeros(len(b))
-        for i, (x, y) in enumerate(zip(b.column("shingles").to_pylist(), b.column("leader_shingles").to_pylist())):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        for i in range(len(b)):  # one pair of sets at a time, straight from the batch
+            x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint32) for c in ("shingles", "leader_shingles"))
             both = len(np.intersect1d(x, y, assume_unique=True))
             out[i] = both / (len(x) + len(y) - both)
         yield pa.RecordBatch.from_arrays([b.column("node"), b.column("leader"), pa.array(out)], ["node", "leader", "jaccard"])
@@ -143,18 +157,20 @@ def _verified(batches):
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the least node of each connected component, for every node with an edge.
 
-    Alternates the large-star and small-star steps, so the number of rounds is logarithmic whatever the shape.
+    Alternates the large-star and small-star steps, so the number of rounds is logarithmic whatever the shape. The
+    least neighbours come from partial aggregates and have a shuffle of their own, so AQE can split a hub in the join.
     """
     def state(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
+    def least(e: DataFrame) -> DataFrame:
+        return e.join(cut(e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))), "u")
+
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
     was = state(e)
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = W.partitionBy("u")
-        large = both.withColumn("m", F.least(F.min("v").over(near), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(near))
+        large = least(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))).where("v > u")
+        small = least(cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()))
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = cut(small.select("x.*").where("u != v").distinct())
         if (now := state(e)) == was:
@@ -163,80 +179,103 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _bridges(threshold: float):
-    """Compares the members of a bucket that lie in different components; rows come in the order of their buckets.
-
-    A member is compared with the leaders before it and becomes one itself, unless a leader is surely similar.
-    """
-
-    def flush(node, root, n, regs, out):
-        x = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, REGISTERS)
-        node, root, n = map(np.array, (node, root, n))
-        leaders = np.zeros(1, np.int64)
-        for i in range(1, len(node)):
-            others = leaders[root[leaders] != root[i]]
-            sure = False
-            if len(others):
-                e = estimate(np.broadcast_to(x[i], (len(others), REGISTERS)), x[others], np.full(len(others), n[i]), n[others])
-                near = others[e >= threshold - MARGIN]
-                out[0] += [int(node[i])] * len(near)
-                out[1] += node[near].tolist()
-                out[2] += e[e >= threshold - MARGIN].tolist()
-                sure = e.max() >= threshold + MARGIN
-            if not sure:
-                leaders = np.append(leaders, i)
+def _compared(threshold: float, at_once: int = 100_000):
+    """Pairs of each group that lie in different components and may be similar; rows come by group, of two blocks at most."""
+
+    def compare(rows: list) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        key, i, j, mine, node, root, n = (t.column(c).to_numpy() for c in ("key", "i", "j", "mine", "node", "root", "n"))
+        x = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        head = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        start = np.flatnonzero(head)
+        end = np.repeat(np.append(start[1:], len(key)), np.diff(np.append(start, len(key))))
+        many = end - np.arange(len(key)) - 1  # partners that follow
+        upto = np.append(0, np.cumsum(many))
+        out, lo = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0)]], 0
+        while lo < len(key):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + at_once, "right")) - 1)
+            a = np.repeat(np.arange(lo, hi), many[lo:hi])
+            b = a + 1 + np.arange(len(a)) - (upto[a] - upto[lo])
+            k = (root[a] != root[b]) & ((i[a] == j[a]) | (mine[a] != mine[b]))
+            a, b = a[k], b[k]
+            if len(a):
+                e = estimate(x[a], x[b], n[a], n[b])
+                k = e >= threshold - MARGIN
+                out.append([node[a[k]], node[b[k]], e[k]])
+            lo = hi
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["node", "leader", "estimate"])
 
     def run(batches):
-        held, last = [[], [], [], []], None
-        for batch in batches:
-            out = [[], [], []]
-            for band, key, *row in zip(*[batch.column(c).to_pylist() for c in ("band", "key", "node", "root", "n", "regs")]):
-                if (band, key) != last:
-                    flush(*held, out)
-                    held, last = [[], [], [], []], (band, key)
-                for h, v in zip(held, row):
-                    h.append(v)
-            yield _pairs(out)
-        out = [[], [], []]
-        flush(*held, out)
-        yield _pairs(out)
+        held, n = [], 0
+        for b in batches:
+            if not len(b):
+                continue
+            held.append(b)
+            n += len(b)
+            last = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")])
+            change = np.flatnonzero((last[:, 1:] != last[:, :-1]).any(axis=0))
+            if n >= 4 * BLOCK and len(change):
+                done = int(change[-1]) + 1
+                held[-1] = b.slice(0, done)
+                yield compare(held)
+                held, n = [b.slice(done)], len(b) - done
+        if n:
+            yield compare(held)
 
     return run
 
 
-def _pairs(out: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["node", "leader", "estimate"])
-
-
 def _edges(nodes: DataFrame, shingles, threshold: float) -> DataFrame | None:
     """Verified (node, leader) pairs; ``shingles`` gives the sets of the nodes it is handed."""
-    bucket = W.partitionBy("band", "key")
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    rows = cut(rows.withColumn("mates", F.count(F.lit(1)).over(bucket)).where("mates > 1"))
+    rows = nodes.select("node", F.explode("bands").alias("key"))
+    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1"))
+    rows = cut(rows.join(shared, "key"))
     if rows.isEmpty():
         return None
-    sets = cut(shingles(rows.select("node").distinct()))
+    # central members first: the original of many copies has the most mates
+    central = rows.groupBy("node").agg(F.sum("mates").alias("weight"))
+    left = cut(rows.select("node", "key").join(central, "node"))
+    sets = cut(shingles(central.select("node")))
     other = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("leader_shingles"))
+    ends = nodes.select("node", "n", "regs")
+    lead = ends.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("regs").alias("leader_regs"))
 
     def verified(near: DataFrame) -> DataFrame:
         both = near.select("node", "leader").distinct().join(sets, "node").join(other, "leader")
         return cut(both.mapInArrow(_verified, "node long, leader long, jaccard double").where(F.col("jaccard") >= threshold))
 
-    # the leader of a bucket is the member with the most mates over all bands: the original of many copies
-    central = rows.groupBy("node").agg(F.sum("mates").alias("weight"))
-    led = rows.select("node", "band", "key").join(central, "node")
-    led = cut(led.withColumn("leader", F.max(F.struct("weight", "node")).over(bucket)["node"]).select("node", "band", "key", "weight", "leader"))
-    ends = nodes.select("node", "n", "regs")
-    lead = ends.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("regs").alias("leader_regs"))
-    pairs = led.where("node != leader").select("node", "leader").distinct().join(ends, "node").join(lead, "leader")
-    stars = verified(pairs.mapInArrow(_estimated, "node long, leader long, estimate double").where(F.col("estimate") >= threshold - MARGIN))
-    # what is left to compare: buckets whose members still lie in different components
-    roots = components(stars, "node", "leader")
-    open_ = led.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = open_.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low != high")
-    open_ = open_.join(ends, "node").repartition("band", "key").sortWithinPartitions("band", "key", F.desc("weight"), "node")
-    near = open_.select("band", "key", "node", "root", "n", "regs").mapInArrow(_bridges(threshold), "node long, leader long, estimate double")
-    return stars.unionByName(verified(near))
+    edges, roots = None, None
+    for turn in range(STARS):
+        if roots is not None:
+            left = _still_open(left, roots)
+        best = cut(left.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("best")).select("key", F.col("best.node").alias("leader")))
+        led = left.join(best, "key")
+        pairs = led.where("node != leader")
+        if roots is not None:
+            own = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
+            pairs = pairs.join(own, "leader", "left").where("root != coalesce(leader_root, leader)")
+        pairs = pairs.select("node", "leader").distinct().join(ends, "node").join(lead, "leader")
+        found = verified(pairs.mapInArrow(_estimated, "node long, leader long, estimate double").where(F.col("estimate") >= threshold - MARGIN))
+        edges = found if edges is None else edges.unionByName(found)
+        roots = cut(components(edges, "node", "leader"))
+        left = cut(led.where("node != leader").select("node", "key", "weight"))  # a leader has been compared with its whole bucket
+        if left.isEmpty():
+            return edges
+    open_ = _still_open(left, roots)
+    size = cut(open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
+    open_ = open_.join(size, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    open_ = open_.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root").join(ends, "node")
+    open_ = open_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    near = open_.select("key", "i", "j", "mine", "node", "root", "n", "regs").mapInArrow(_compared(threshold), "node long, leader long, estimate double")
+    return edges.unionByName(verified(near))
+
+
+def _still_open(left: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with their roots, of the buckets whose members lie in different components."""
+    rooted = cut(left.select("node", "key", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed = cut(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"))
+    return cut(rooted.join(mixed, "key"))
 
 
 def _node(sets: list[np.ndarray]) -> np.ndarray:
@@ -267,10 +306,11 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     edges = _edges(nodes, shingles, threshold)
     rooted = nodes.select("node", F.col("least").alias("root"))
     if edges is not None:
-        comp = components(edges, "node", "leader").join(nodes.select("node", "least"), "node")
-        comp = comp.select("node", F.min("least").over(W.partitionBy("root")).alias("shared"))
+        comp = cut(components(edges, "node", "leader").join(nodes.select("node", "least"), "node"))
+        shared = cut(comp.groupBy("root").agg(F.min("least").alias("shared")))
+        comp = comp.select("node", F.col("root").alias("of")).join(shared.withColumnRenamed("root", "of"), "of").select("node", "shared")
         rooted = rooted.join(comp, "node", "left").select("node", F.coalesce("shared", "root").alias("root"))
-    return signed.select("doc_id", "tag", "node").join(rooted, "node").select("doc_id", "tag", "root")
+    return signed.select("doc_id", "tag", "node").join(cut(rooted), "node").select("doc_id", "tag", "root")
 
 
 def _others(docs: DataFrame, threshold: float) -> DataFrame:
@@ -280,7 +320,8 @@ def _others(docs: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, duplicate_of): every document of a group of near-duplicates but the one with the least doc_id.
 
-    Texts without a letter or digit (null and empty ones too) are near nothing. Equal texts are near each other.
+    Texts without a letter or digit (null and empty ones too) are near nothing. Equal texts are near each other, and
+    similarity of just ``threshold`` is near. Texts of any length are read whole.
     Rows that repeat doc_id and text are one document; rows that share only the doc_id are different documents.
     A null doc_id sorts first and stays null. An empty table gives no rows; further columns are not read.
     """
@@ -288,11 +329,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that ``near_duplicates`` lists; the columns are those of ``docs``.
+    """``docs`` without those that ``near_duplicates`` lists; the columns are those of ``docs``, whatever their names.
 
-    Rows that repeat doc_id and text share their fate.
+    Null and empty texts stay. Rows that repeat doc_id and text share their fate. Texts of any length are read whole.
+    An empty table stays empty.
     """
-    row, key, tag = (unused(docs, x) for x in ("row", "key", "tag"))
-    packed = keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)).select(F.col("doc_id").alias(key), F.col("tag").alias(tag), row)
-    gone = _others(docs, threshold).select(F.col("doc_id").alias(key), F.col("tag").alias(tag))
-    return packed.join(gone, [key, tag], "left_anti").select(f"{row}.*")
+    rows = keyed(docs, packed(docs).alias("row")).select("doc_id", "tag", "row")
+    gone = _others(docs, threshold).select("doc_id", "tag")
+    return unpacked(rows.join(gone, ["doc_id", "tag"], "left_anti"), "row", docs.columns)
