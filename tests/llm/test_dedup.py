@@ -86,7 +86,7 @@ def test_hot_blocks(spark, monkeypatch):
     assert exact_dedup.drop_exact_duplicates(docs, 7).count() == 1501
 
 
-def brute_windows(rows, length):
+def brute_windows(rows, length, within=False):
     where = collections.defaultdict(set)
     docs = documents(rows)
     for k, (_, t) in enumerate(docs):
@@ -95,19 +95,20 @@ def brute_windows(rows, length):
             where[tuple(w[a : a + length])].add((k, a))
     out = set()
     for places in where.values():
-        if len({k for k, _ in places}) > 1:
+        if len(places if within else {k for k, _ in places}) > 1:
             s, q = min(places)
             out |= {(docs[k][0], a, docs[s][0], q) for k, a in places if (k, a) != (s, q)}
     return out
 
 
-@pytest.mark.parametrize("length,gram", [(50, 16), (8, 3)])
-def test_windows(spark, corpus, length, gram):
+@pytest.mark.parametrize("length,gram,hot,within", [(50, 16, 50_000, False), (8, 3, 50_000, True), (8, 3, 3, False), (50, 16, 0, True)])
+def test_windows(spark, corpus, length, gram, hot, within, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     got = collections.Counter()
-    for r in suffix_dedup.repeated_windows(frame(spark, corpus), length, gram).collect():
+    for r in suffix_dedup.repeated_windows(frame(spark, corpus), length, gram, within).collect():
         for j in range(r.b - r.a + 1):
             got[(r.doc_id, r.a + j, r.source, r.source_a + j)] += 1
-    want = brute_windows(corpus, length)
+    want = brute_windows(corpus, length, within)
     # documents that share an id are told apart by their tag, whose order brute force doesn't know
     loose = lambda s: {x for x in s if 7 not in (x[0], x[2])}
     assert loose(set(got)) == loose(want)
@@ -133,17 +134,21 @@ def test_passages_and_erasing(spark, corpus):
 
 def test_suffix_array_and_statistics():
     rng = np.random.default_rng(0)
-    for n, k in [(1, 2), (30, 2), (200, 3), (400, 1)]:
+    for n, k in [(1, 2), (30, 2), (200, 3), (400, 1), (2, 1)]:
         text = np.append(rng.integers(1, k + 1, n), 0)
-        index = suffix_dedup.RunIndex(text)
         t = text.tolist()
         order = sorted(range(len(t)), key=lambda i: t[i:])
-        assert index.order.tolist() == order
-        want = [0] * len(t)
+        assert suffix_dedup.suffix_array(text).tolist() == order
+        before, want = {order[0]: None}, [0] * len(t)
         for a, b in itertools.pairwise(order):
+            before[b] = a
             while max(a, b) + want[b] < len(t) and t[a + want[b]] == t[b + want[b]]:
                 want[b] += 1
-        assert index.statistics().tolist() == want
+        index = suffix_dedup.RunIndex(text)
+        got, match = index.statistics()
+        assert match.tolist() == want and len(index.where) <= len(t)
+        assert all(got[i] == before[i] for i in range(len(t)) if want[i])
+    assert len(suffix_dedup.RunIndex(np.append(np.tile(np.arange(1, 20), 50), 0)).where) < 60  # samples follow the runs, not the text
 
 
 def jaccards(rows):
