@@ -7,12 +7,12 @@ that share a vertex (or, later, an edge) are united. Infrequent patterns never g
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import doublings
 from ..kg import checkpointed
 from .filters import frequent_only
+from .stats import ranked_rows
 
 JOINER = " + "
 
@@ -41,7 +41,7 @@ def grow(instances: DataFrame, shared: str = "vertex", current=None, edge_limit:
     """New instances, and (small, joined) pattern pairs.
 
     Unites any two instances that share a vertex or an edge. ``current`` asks for one of that batch in each pair;
-    ``edge_limit`` joins an instance only with so many that follow it at the shared place, in order of their ids.
+    ``edge_limit`` joins an instance only with so many that follow it at the shared place, in order of their edges.
     """
     place = {
         "vertex": lambda e: F.array_union(F.transform(e, lambda x: x["s"]), F.transform(e, lambda x: x["o"])),
@@ -49,14 +49,16 @@ def grow(instances: DataFrame, shared: str = "vertex", current=None, edge_limit:
     }[shared](F.col("edges"))
     at = instances.select("id", "pattern", "batch", F.explode(place).alias("at"))
     if edge_limit is not None:
-        at = at.withColumn("nth", F.row_number().over(W.partitionBy("at").orderBy("id")))
-    a, b = at, at.select(*[F.col(c).alias(c + "_b") for c in at.columns if c != "at"], "at")
-    pair = a.join(b, "at").where("id < id_b")
-    if edge_limit is not None:
-        pair = pair.where(f"nth_b - nth <= {edge_limit}")
+        # ranks come from range partitions and followers by arithmetic, so a hub is sorted and joined in many tasks
+        order = F.concat_ws(JOINER, F.transform("edges", lambda x: F.concat_ws("|", x["s"], x["sig"], x["o"])))
+        at = ranked_rows(instances.select("id", "pattern", "batch", order.alias("order"), F.explode(place).alias("at")), "at", "order").drop("order")
+        after = at.select(*[F.col(c).alias(c + "_b") for c in ("id", "pattern", "batch")], "at", F.explode(F.expr(f"transform(sequence(1, {edge_limit}), k -> rank0 - k)")).alias("rank0"))
+        pair = at.join(after, ["rank0", "at"])
+    else:
+        pair = at.join(at.select(*[F.col(c).alias(c + "_b") for c in at.columns if c != "at"], "at"), "at").where("id < id_b")
     if current is not None:
         pair = pair.where((F.col("batch") == current) | (F.col("batch_b") == current))
-    pair = pair.select("id", "id_b").distinct()
+    pair = pair.select(F.least("id", "id_b").alias("id"), F.greatest("id", "id_b").alias("id_b")).distinct()
     x = instances.select("id", F.col("edges").alias("ea"), F.col("pattern").alias("pa"), F.col("batch").alias("ba"))
     y = instances.select(F.col("id").alias("id_b"), F.col("edges").alias("eb"), F.col("pattern").alias("pb"), F.col("batch").alias("bb"))
     both = pair.join(x, "id").join(y, "id_b").select("pa", "pb", F.greatest("ba", "bb").alias("batch"), F.array_sort(F.array_union("ea", "eb")).alias("edges"))
@@ -70,7 +72,7 @@ def grow(instances: DataFrame, shared: str = "vertex", current=None, edge_limit:
 
 def _ends(instances: DataFrame) -> DataFrame:
     """(at, sig, s, st, o, dt): the edge of each one-edge instance at either of its vertices."""
-    e = instances.select(F.col("edges")[0].alias("e")).select("e.sig", "e.s", "e.st", "e.o", "e.dt")
+    e = instances.select(F.col("edges")[0].alias("e"), "batch").select("e.sig", "e.s", "e.st", "e.o", "e.dt", "batch")
     return e.withColumn("at", F.explode(F.array_distinct(F.array("s", "o"))))
 
 
@@ -78,20 +80,27 @@ def _pair_pattern(a: str, b: str):
     return F.concat_ws(JOINER, F.array_sort(F.array(a, b)))
 
 
-def pair_counts(instances: DataFrame) -> DataFrame:
-    """(pattern, n): how many pairs of one-edge instances share a vertex, from counts a vertex; no pair is formed."""
-    ends = _ends(instances)
+def pair_counts(instances: DataFrame, current=None) -> DataFrame:
+    """(pattern, n): how many pairs of one-edge instances share a vertex, from counts a vertex; no pair is formed.
+
+    With ``current``, (pattern, batch, n) of the pairs of which one is of that batch, by the later batch of the two.
+    """
+    ends, kind = _ends(instances), ["sig"] if current is None else ["sig", "batch"]
 
     def of(edges: DataFrame, *at: str) -> DataFrame:
-        k = edges.groupBy(*at, "sig").agg(F.count(F.lit(1)).alias("k"))
-        both = k.join(k.select(*at, F.col("sig").alias("sig_b"), F.col("k").alias("k_b")), list(at)).where("sig <= sig_b")
-        n = F.when(F.col("sig") == F.col("sig_b"), F.expr("k * (k - 1) div 2")).otherwise(F.col("k") * F.col("k_b"))
-        return both.select(_pair_pattern("sig", "sig_b").alias("pattern"), n.alias("n"))
+        k = edges.groupBy(*at, *kind).agg(F.count(F.lit(1)).alias("k"))
+        mine, other = F.struct(*kind), F.struct(*[F.col(c + "_b").alias(c) for c in kind])
+        both = k.join(k.select(*at, *[F.col(c).alias(c + "_b") for c in (*kind, "k")]), list(at)).where(mine <= other)
+        if current is not None:
+            both = both.where((F.col("batch") == current) | (F.col("batch_b") == current))
+        n = F.when(mine == other, F.expr("k * (k - 1) div 2")).otherwise(F.col("k") * F.col("k_b"))
+        later = [] if current is None else [F.greatest("batch", "batch_b").alias("batch")]
+        return both.select(_pair_pattern("sig", "sig_b").alias("pattern"), *later, n.alias("n"))
 
     # edges between the same two vertices meet at both
-    twice = ends.where("at = s and s != o").select("sig", F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"))
+    twice = ends.where("at = s and s != o").select(*kind, F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"))
     n = of(ends, "at").unionByName(of(twice, "a", "b").withColumn("n", -F.col("n")))
-    return n.groupBy("pattern").agg(F.sum("n").alias("n")).where("n > 0")
+    return n.groupBy("pattern", *kind[1:]).agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def pair_support(instances: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -70,16 +70,56 @@ def rendered(paths: DataFrame, arrows=("Out", "In")) -> DataFrame:
     return paths.select("src", "dst", "length", F.concat(F.col("src"), F.lit(" : "), F.concat_ws(", ", F.transform("path", one))).alias("line"))
 
 
+def _by_prefix(want: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(want, v): vertices whose label begins with what is wanted. The prefixes of the lengths that are wanted are joined by equality."""
+    lengths = want.select(F.length("want").alias("n")).distinct()
+    cut = vertices.join(lengths, F.length("v") >= F.col("n")).select("v", F.substring(F.lower("v"), F.lit(1), F.col("n")).alias("want"))
+    return cut.join(want, "want")
+
+
 def matched_pairs(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     """Pairs of label prefixes resolved to the alphabetically first vertex that begins with them."""
+    want = pairs.select(F.explode(F.array(F.lower("src"), F.lower("dst"))).alias("want")).distinct()
+    hit = checkpointed(_by_prefix(want, vertices).groupBy("want").agg(F.min("v").alias("v")))
     out = pairs
     for c in ("src", "dst"):
-        want = pairs.select(F.lower(c).alias("want")).distinct()
-        hit = vertices.join(F.broadcast(want), F.lower("v").startswith(F.col("want"))).groupBy("want").agg(F.min("v").alias(f"{c}_v"))
-        out = out.join(hit, F.lower(c) == F.col("want")).drop("want")
+        out = out.join(hit.select(F.col("want").alias(c + "_w"), F.col("v").alias(c + "_v")), F.lower(c) == F.col(c + "_w"))
     return out.select(F.col("src_v").alias("src"), F.col("dst_v").alias("dst"))
 
 
+def popular_matches(wanted: DataFrame, vertices: DataFrame, gram: int = 3, least: float = 0.7) -> DataFrame:
+    """(want, v, degree, tier): of the vertices (v, degree) whose label begins with what is wanted (tier 1), or else has
+    it inside (2), or else is as similar as ``least`` (3), the one of highest degree, of equal ones the first by label.
+
+    Containment is found by a join on the first ``gram`` letters of what is wanted (all of it if it is shorter), similarity
+    by ``linking.candidates``; a later tier sees only what the ones before left open.
+    """
+    from .linking import candidates
+
+    want = checkpointed(wanted.select(F.lower("want").alias("want")).where("want != ''").distinct())
+    one = lambda found, tier: checkpointed(
+        found.join(vertices, "v").groupBy("want").agg(F.min_by(F.struct("v", "degree"), F.struct(-F.col("degree"), "v")).alias("x")).select("want", "x.*", F.lit(tier).alias("tier"))
+    )
+    labels = vertices.select("v")
+    first = one(_by_prefix(want, labels), 1)
+    open_ = want.join(first.select("want"), "want", "left_anti")
+    size = open_.select(F.least(F.length("want"), F.lit(gram)).alias("n")).distinct()
+    grams = labels.join(size, F.length("v") >= F.col("n")).select("v", "n", F.explode(F.expr("array_distinct(transform(sequence(1, length(v) - n + 1), k -> substring(lower(v), k, n)))")).alias("key"))
+    keyed = open_.select("want", F.least(F.length("want"), F.lit(gram)).alias("n")).withColumn("key", F.expr("substring(want, 1, n)"))
+    second = one(grams.join(keyed, ["n", "key"]).where(F.contains(F.lower("v"), F.col("want"))).select("want", "v"), 2)
+    left = open_.join(second.select("want"), "want", "left_anti")
+    near = candidates(labels.select(F.col("v").alias("entity"), F.col("v").alias("label")), left.select(F.col("want").alias("mention")), least)
+    third = one(near.where(F.col("similarity") > least).select(F.col("mention").alias("want"), F.col("entity").alias("v")), 3)
+    return first.unionByName(second).unionByName(third)
+
+
+def without_aliases(paths: DataFrame, mark: str = " <Alias> ") -> DataFrame:
+    """Paths whose labels end where their aliases begin."""
+    bare = lambda c: F.substring_index(c, mark, 1)
+    path = F.transform("path", lambda e: F.struct(e["p"].alias("p"), e["out"].alias("out"), bare(e["v"]).alias("v")))
+    return paths.select(bare("src").alias("src"), bare("dst").alias("dst"), "length", path.alias("path"))
+
+
 def path_scores(paths: DataFrame, edges: DataFrame, topics: DataFrame | None = None) -> DataFrame:
     """(src, dst, length, path, specificity): mean of 1 / log2(1 + degree) over a path's inner vertices, 1 if there is none."""
     key = F.xxhash64("src", "dst", F.to_json("path"))

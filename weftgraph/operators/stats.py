@@ -266,8 +266,9 @@ def ranked_rows(values: DataFrame, *order: str) -> DataFrame:
     """``values`` with ``rank0``, the number of rows before a row in this order; no task sees more than its range."""
     from ..kg import checkpointed
 
-    placed = values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    placed = checkpointed(placed.withColumn("part", F.shiftright("at", 33)))
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.withColumn("before", F.sum("size").over(W.orderBy("part")) - F.col("size")).drop("size")  # a row for each partition
-    return placed.join(F.broadcast(before), "part").withColumn("rank0", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "part", "before")
+    placed = values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = checkpointed(placed.withColumn("__part", F.shiftright("__at", 33)))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select("__part", (F.sum("size").over(W.orderBy("__part")) - F.col("size")).alias("__before"))  # a row for each partition
+    rank = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(before), "__part").withColumn("rank0", rank).drop("__at", "__part", "__before")

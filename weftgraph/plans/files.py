@@ -85,7 +85,7 @@ def s18_pair_set_file(spark, d):
     return R.entity_pairs(spark, _written(both, "c_name", "names"), sets=True)
 
 
-@query("SELECT r_name AS block, n_name AS s, 'inRegion' AS p, r_name AS o, '2015-01-01' AS ts FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query(f"WITH {Q.BLOCKS} SELECT block, s, p, o, '2015-01-01' AS ts FROM b")
 def s20_nlp_file(spark, d):
     triples, _, _ = Q._blocks(spark, d)
     return R.nlp_triples(spark, _written(triples, "s", "p", "o", F.lit("2015-01-01").alias("ts"), "block"))
@@ -116,15 +116,8 @@ def k1_pattern_file(spark, d):
     return R.pattern_supports(spark, _written(s, F.format_string("(%s,%d)", "pattern", "support").alias("value")))
 
 
-@query(sql.kg(Q._paths(Q.NATIONS, "SELECT s, p, o FROM e WHERE p = 'inRegion'", 2)))
+@query(sql.kg(Q.FOUR + " SELECT src, dst, length, line FROM pt"))
 def k4_decoded_paths(spark, d):
-    kg = relational_kg(spark, d)
-    return _decoded(kg, kg.only("inRegion").edges, 2)
-
-
-@query()
-def k4_decoded_paths_whole(spark, d):
-    """As k4_decoded_paths, over all edges and paths of up to four of them."""
     kg = relational_kg(spark, d)
     return _decoded(kg, kg.edges, 4)
 

@@ -160,35 +160,37 @@ def j3_inner_attributes(kg):
     return A.degrees(kg.edges).join(kg.main_type, "v").select("v", "degree", "type")
 
 
-MINED = ("placed", "inNation", "inRegion")
-SMALL = f", i AS (SELECT DISTINCT s, p, o, st, dt, sig FROM te WHERE p IN {MINED})"
-PAIRS = SMALL + """, ends AS (SELECT DISTINCT s, p, o, sig, v FROM (SELECT s, p, o, sig, unnest([s, o]) AS v FROM i)),
-  pr AS (SELECT DISTINCT a.s s1, a.p p1, a.o o1, a.sig sig1, b.s s2, b.p p2, b.o o2, b.sig sig2 FROM ends a JOIN ends b ON a.v = b.v
-    WHERE (a.s, a.p, a.o) < (b.s, b.p, b.o)),
-  pp AS (SELECT *, least(sig1, sig2) || ' + ' || greatest(sig1, sig2) AS pattern FROM pr)"""
+ALL_EDGES = ", i AS (SELECT DISTINCT s, p, o, st, dt, sig FROM te)"
+#: Edges at either end; pairs that meet at one vertex are counted there, those that meet at two are taken off once.
+ENDS = ALL_EDGES + """, ends AS (SELECT s, o, sig, st, dt, v FROM i, unnest(CASE WHEN s = o THEN [s] ELSE [s, o] END) AS u(v)), k AS (SELECT v, sig, count(*) AS k FROM ends GROUP BY ALL),
+  two AS (SELECT least(s, o) AS x, greatest(s, o) AS y, sig, count(*) AS k FROM i WHERE s <> o GROUP BY ALL)"""
+_PAIRED = "sum(CASE WHEN a.sig = b.sig THEN a.k * (a.k - 1) // 2 ELSE a.k * b.k END)"
 
 
-@graph_query(PAIRS + " SELECT pattern, count(*) AS n FROM pp GROUP BY pattern")
+@graph_query(ENDS + f""", n AS (SELECT a.sig || ' + ' || b.sig AS pattern, {_PAIRED} AS n FROM k a JOIN k b ON a.v = b.v AND a.sig <= b.sig GROUP BY ALL
+    UNION ALL SELECT a.sig || ' + ' || b.sig, -{_PAIRED} FROM two a JOIN two b ON a.x = b.x AND a.y = b.y AND a.sig <= b.sig GROUP BY ALL)
+    SELECT pattern, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY pattern HAVING sum(n) > 0""")
 def j5_shared_vertex(kg):
-    grown, _ = M.grow(M.edge_instances(A.typed_edges(kg.only(*MINED))))
-    return grown.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-
-
-@graph_query()
-def j5_shared_vertex_whole(kg):
-    """As j5_shared_vertex, over all edges."""
     return M.pair_counts(M.edge_instances(A.typed_edges(kg)))
 
 
-BATCHED = f"""(SELECT s, p, o, st, dt, sig, max({sql.BATCH}) AS batch FROM te WHERE p = 'placed' GROUP BY ALL)"""
+@graph_query(ENDS + """, r AS (SELECT v, s, o, sig, row_number() OVER (PARTITION BY v ORDER BY s || '|' || sig || '|' || o) AS nth FROM ends),
+  pr AS (SELECT DISTINCT a.s s1, a.o o1, a.sig g1, b.s s2, b.o o2, b.sig g2 FROM r a JOIN r b ON a.v = b.v AND b.nth - a.nth BETWEEN 1 AND 2)
+  SELECT least(g1, g2) || ' + ' || greatest(g1, g2) AS pattern, count(*) AS n FROM pr GROUP BY ALL""")
+def j5_successor_limit(kg):
+    """Each edge is joined with two that follow it at a shared vertex, however many there are."""
+    grown, _ = M.grow(M.edge_instances(A.typed_edges(kg)), edge_limit=2)
+    return grown.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
-@graph_query(f""", i AS {BATCHED} SELECT a.sig || ' + ' || b.sig AS pattern, greatest(a.batch, b.batch) AS batch, count(*) AS n FROM i a JOIN i b ON a.s = b.s AND a.o <> b.o
-    AND (a.sig < b.sig OR (a.sig = b.sig AND a.o < b.o)) WHERE greatest(a.batch, b.batch) >= 30 AND (a.batch = 30 OR b.batch = 30) GROUP BY ALL""")
+@graph_query(f""", b AS (SELECT s, p, o, sig, max({sql.BATCH}) AS batch FROM te WHERE ts IS NOT NULL GROUP BY ALL), ends AS (SELECT s, o, sig, batch, v FROM b, unnest(CASE WHEN s = o THEN [s] ELSE [s, o] END) AS u(v)),
+    k AS (SELECT v, sig, batch, count(*) AS k FROM ends GROUP BY ALL), two AS (SELECT least(s, o) AS x, greatest(s, o) AS y, sig, batch, count(*) AS k FROM b WHERE s <> o GROUP BY ALL),
+    n AS (SELECT a.sig || ' + ' || b.sig AS pattern, greatest(a.batch, b.batch) AS batch, CASE WHEN (a.sig, a.batch) = (b.sig, b.batch) THEN a.k * (a.k - 1) // 2 ELSE a.k * b.k END AS n FROM k a JOIN k b ON a.v = b.v AND (a.sig, a.batch) <= (b.sig, b.batch) WHERE a.batch = 30 OR b.batch = 30
+    UNION ALL SELECT a.sig || ' + ' || b.sig, greatest(a.batch, b.batch), CASE WHEN (a.sig, a.batch) = (b.sig, b.batch) THEN -(a.k * (a.k - 1) // 2) ELSE -a.k * b.k END FROM two a JOIN two b ON a.x = b.x AND a.y = b.y AND (a.sig, a.batch) <= (b.sig, b.batch) WHERE a.batch = 30 OR b.batch = 30)
+    SELECT pattern, batch, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY ALL HAVING sum(n) > 0""")
 def j7_current_batch_growth(kg):
-    typed = A.typed_edges(kg.only("placed")).withColumn("batch", batch_id(F.col("ts")))
-    grown, _ = M.grow(M.edge_instances(typed), current=30)
-    return grown.groupBy("pattern", "batch").agg(F.count(F.lit(1)).alias("n"))
+    typed = A.typed_edges(kg).where("ts is not null").withColumn("batch", batch_id(F.col("ts")))
+    return M.pair_counts(M.edge_instances(typed), current=30)
 
 
 @graph_query("SELECT DISTINCT s, o FROM e WHERE p = 'placed' AND NOT EXISTS (SELECT 1 FROM e x WHERE x.s = e.o AND x.p = 'shippedBy' AND x.ts < e.ts + INTERVAL 3 DAY)")
@@ -343,8 +345,9 @@ def a17_out_stars(kg):
     return A.star_counts(A.typed_edges(kg), "s")
 
 
-@graph_query(""", k AS (SELECT s AS v, p || '|' || o AS a, count(*) AS k FROM te GROUP BY ALL)
-    SELECT x.v, x.a, y.a AS b, CASE WHEN x.a = y.a THEN x.k * (x.k - 1) // 2 ELSE x.k * y.k END AS n FROM k x JOIN k y ON x.v = y.v AND x.a <= y.a WHERE x.a < y.a OR x.k > 1""")
+@graph_query(""", k AS MATERIALIZED (SELECT s AS v, p || '|' || o AS a, CAST(count(*) AS BIGINT) AS k FROM (SELECT s, p, o FROM e JOIN mt a ON e.s = a.v JOIN mt b ON e.o = b.v) GROUP BY ALL),
+    l AS MATERIALIZED (SELECT v, list({'a': a, 'k': k} ORDER BY a) AS xs FROM k GROUP BY v), x AS (SELECT v, xs, unnest(xs) AS x FROM l), y AS (SELECT v, x, unnest(list_filter(xs, lambda z: z.a >= x.a)) AS y FROM x)
+    SELECT v, x.a AS a, y.a AS b, CASE WHEN x.a = y.a THEN x.k * (x.k - 1) // 2 ELSE x.k * y.k END AS n FROM y WHERE x.a < y.a OR x.k > 1""")
 def a17_labelled_out_stars(kg):
     return A.labelled_star_counts(A.typed_edges(kg), "s")
 
@@ -369,12 +372,16 @@ def a20_count_histogram(kg):
     return A.count_histogram(A.signature_counts(A.typed_edges(kg), labelled=True))
 
 
-@graph_query(""", it AS (SELECT DISTINCT s, sig FROM te WHERE p <> 'contains'), h1 AS (SELECT s, sig AS k, sig AS last FROM it), s1 AS (SELECT k, count(*) AS n FROM h1 GROUP BY k HAVING count(*) > 2),
-  h2 AS (SELECT h1.s, h1.k || ' + ' || it.sig AS k, it.sig AS last FROM h1 JOIN s1 USING (k) JOIN it ON it.s = h1.s AND it.sig > h1.last), s2 AS (SELECT k, count(*) AS n FROM h2 GROUP BY k HAVING count(*) > 2),
-  h3 AS (SELECT h2.s, h2.k || ' + ' || it.sig AS k, it.sig AS last FROM h2 JOIN s2 USING (k) JOIN it ON it.s = h2.s AND it.sig > h2.last), s3 AS (SELECT k, count(*) AS n FROM h3 GROUP BY k HAVING count(*) > 2)
-  SELECT CAST(1 AS INT) AS size, count(*) AS patterns, CAST(coalesce(sum(n), 0) AS BIGINT) AS support FROM s1 UNION ALL SELECT 2, count(*), CAST(coalesce(sum(n), 0) AS BIGINT) FROM s2 UNION ALL SELECT 3, count(*), CAST(coalesce(sum(n), 0) AS BIGINT) FROM s3""")
+def _set_patterns(most: int) -> str:
+    out = ", it AS MATERIALIZED (SELECT DISTINCT s, sig FROM te), h1 AS (SELECT s, sig AS k, sig AS last FROM it), s1 AS MATERIALIZED (SELECT k, count(*) AS n FROM h1 GROUP BY k HAVING count(*) > 2)"
+    for n in range(2, most + 1):
+        out += f", h{n} AS MATERIALIZED (SELECT h.s, h.k || ' + ' || it.sig AS k, it.sig AS last FROM h{n - 1} h JOIN s{n - 1} USING (k) JOIN it ON it.s = h.s AND it.sig > h.last), s{n} AS MATERIALIZED (SELECT k, count(*) AS n FROM h{n} GROUP BY k HAVING count(*) > 2)"
+    return out + " UNION ALL ".join(f" SELECT CAST({n} AS INT) AS size, count(*) AS patterns, CAST(coalesce(sum(n), 0) AS BIGINT) AS support FROM s{n}" for n in range(1, most + 1))
+
+
+@graph_query(_set_patterns(5))
 def a21_set_patterns(kg):
-    return A.set_pattern_stats(A.typed_edges(kg).where("p != 'contains'"), 2, 3)
+    return A.set_pattern_stats(A.typed_edges(kg), 2, 5)
 
 
 @graph_query("SELECT st || '*' || p || '*' || dt AS rule, count(*) AS n FROM te GROUP BY ALL")
@@ -463,18 +470,8 @@ def f1_frequent(kg):
     return s.withColumn("class", F.when(FI.support_at_least(100), "frequent").otherwise("infrequent"))
 
 
-@graph_query(SMALL + ", " + IMAGES.format("i") + " SELECT sig AS pattern, count(*) AS n FROM i JOIN sup ON sup.pattern = i.sig WHERE support >= 100 GROUP BY ALL")
-def f2_frequent_instances(kg):
-    i = M.edge_instances(A.typed_edges(kg.only(*MINED)))
-    return FI.frequent_only(i, M.support(i), 100).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-
-
-ALL_EDGES = ", i AS (SELECT DISTINCT s, p, o, st, dt, sig FROM te)"
-
-
 @graph_query(ALL_EDGES + ", " + IMAGES.format("i") + " SELECT sig AS pattern, count(*) AS n FROM i JOIN sup ON sup.pattern = i.sig WHERE support >= 100 GROUP BY ALL")
-def f2_frequent_instances_whole(kg):
-    """As f2_frequent_instances, over all edges."""
+def f2_frequent_instances(kg):
     i = M.edge_instances(A.typed_edges(kg))
     return FI.frequent_only(i, M.support(i), 100).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
@@ -565,7 +562,18 @@ def c1_token_dice(spark, d):
     return p.select("a", "b", r6(C.dice(C.tokens(F.col("a")), C.tokens(F.col("b")))).alias("dice"))
 
 
-@query()
+def phrase_sql(pairs: str) -> str:
+    """CTEs from ``pairs`` (a, b) to sim (a, b, similarity): the merge of sorted tokens as recursion."""
+    tok = "list_sort(list_filter(regexp_split_to_array(lower({}), '[ _,$]'), lambda z: z <> ''))"
+    return f"""pq AS (SELECT DISTINCT a, b FROM ({pairs})), tk AS (SELECT a, b, {tok.format('a')} AS x, {tok.format('b')} AS y FROM pq),
+    ex AS (SELECT a, b, x, y, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE 2.0 * list_sum(list_transform(list_distinct(x), lambda z: least(len(list_filter(x, lambda w: w = z)), len(list_filter(y, lambda w: w = z))))) / (len(x) + len(y)) END AS exact FROM tk),
+    mg AS (SELECT a, b, x, y, exact, 1::BIGINT AS i, 1::BIGINT AS j, 0 AS score FROM ex UNION ALL
+      SELECT a, b, x, y, exact, CASE WHEN hit OR x[i] < y[j] THEN i + 1 ELSE i END, CASE WHEN hit OR x[i] >= y[j] THEN j + 1 ELSE j END, score + CASE WHEN hit THEN 2 ELSE 0 END
+      FROM (SELECT *, (1 - levenshtein(x[i], y[j])::DOUBLE / length(x[i])) + (1 - levenshtein(x[i], y[j])::DOUBLE / length(y[j])) >= 1.4 AS hit FROM mg WHERE exact < 0.7 AND i <= len(x) AND j <= len(y))),
+    sim AS (SELECT a, b, CASE WHEN any_value(exact) >= 0.7 OR any_value(len(x)) = 0 OR any_value(len(y)) = 0 THEN any_value(exact) ELSE max(score)::DOUBLE / any_value(len(x) + len(y)) END AS similarity FROM mg GROUP BY a, b)"""
+
+
+@query(f"WITH RECURSIVE {phrase_sql('SELECT x.n_name AS a, y.n_name AS b FROM nation x, nation y')} SELECT a, b, round(similarity, 6) AS similarity FROM sim")
 def c1_phrase_similarity(spark, d):
     n = table(spark, d, "nation").select(F.col("n_name").alias("a"))
     return n.crossJoin(n.select(F.col("a").alias("b"))).select("a", "b", r6(C.phrase_similarity(F.col("a"), F.col("b"))).alias("similarity"))
@@ -659,22 +667,47 @@ def _paths(pairs: str, edges: str, longest: int, go_on: str = "true", tail: str
 NATIONS = "SELECT a.v AS src, b.v AS dst FROM mt a JOIN mt b ON a.v < b.v WHERE a.type = 'nation' AND b.type = 'nation'"
 
 
-@graph_query(_paths(NATIONS, "SELECT s, p, o FROM e WHERE p IN ('inRegion', 'inNation')", 4))
-def g1_simple_paths(kg):
-    adj = P.adjacency(kg.only("inRegion", "inNation").edges)
-    return P.rendered(P.simple_paths(_nation_pairs(kg), adj, 4))
+#: All paths of up to four edges between nations over all edges: by a region, a customer's order and its supplier, or two suppliers of one order.
+FOUR = """, l AS (SELECT 'o:' || l_orderkey AS o, 's:' || l_suppkey AS s, 'n:' || s_nationkey AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), c AS (SELECT 'o:' || o_orderkey AS o, 'c:' || c_custkey AS c, 'n:' || c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey),
+  raw AS (SELECT 'n:' || a.n_nationkey AS src, 'n:' || b.n_nationkey AS dst, [('inRegion', true, 'r:' || a.n_regionkey), ('inRegion', false, 'n:' || b.n_nationkey)] AS steps FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey
+    UNION ALL SELECT c.n, l.n, [('inNation', false, c), ('placed', true, c.o), ('shippedBy', true, s), ('inNation', true, l.n)] FROM c JOIN l ON c.o = l.o
+    UNION ALL SELECT l.n, c.n, [('inNation', false, s), ('shippedBy', false, c.o), ('placed', false, c), ('inNation', true, c.n)] FROM c JOIN l ON c.o = l.o
+    UNION ALL SELECT x.n, y.n, [('inNation', false, x.s), ('shippedBy', false, x.o), ('shippedBy', true, y.s), ('inNation', true, y.n)] FROM l x JOIN l y ON x.o = y.o AND x.s <> y.s),
+  pt AS (SELECT row_number() OVER () AS id, src, dst, CAST(len(steps) AS INT) AS length, steps, list_concat([src], list_transform(steps, lambda z: z[3])) AS vs,
+    src || ' : ' || array_to_string(list_transform(steps, lambda z: '(' || z[1] || CASE WHEN z[2] THEN '-Out) ' ELSE '-In) ' END || z[3]), ', ') AS line FROM raw WHERE src < dst)"""
 
 
 def _nation_paths(kg, longest=4):
     return P.simple_paths(_nation_pairs(kg), P.adjacency(kg.edges), longest)
 
 
-@graph_query()
-def g1_simple_paths_whole(kg):
-    """As g1_simple_paths, over all edges."""
+@graph_query(FOUR + " SELECT src, dst, length, line FROM pt")
+def g1_simple_paths(kg):
     return P.rendered(_nation_paths(kg))
 
 
+@graph_query(_paths(NATIONS, "SELECT s, p, o FROM e WHERE p IN ('inRegion', 'inNation')", 4))
+def g1_paths_of_predicates(kg):
+    """Paths over two predicates only, by recursion in SQL."""
+    return P.rendered(P.simple_paths(_nation_pairs(kg), P.adjacency(kg.only("inRegion", "inNation").edges), 4))
+
+
+@graph_query(FOUR + " SELECT src, dst, line FROM pt")
+def x14_paths_without_aliases(kg):
+    """Paths over labels that carry aliases, which are dropped from the output."""
+    with_alias = lambda c: F.when(F.col(c).startswith("n:"), F.concat(c, F.lit(" <Alias> nation "), F.substring_index(c, ":", -1))).otherwise(F.col(c)).alias(c)
+    pairs = _nation_pairs(kg).select(with_alias("src"), with_alias("dst"))
+    paths = P.simple_paths(pairs, P.adjacency(kg.edges.select(with_alias("s"), "p", with_alias("o"), "ts")), 4)
+    return P.rendered(P.without_aliases(paths)).select("src", "dst", "line")
+
+
+@graph_query(FOUR + """, y AS (SELECT s AS v, array_to_string(list_sort(list(DISTINCT o)), ';;') AS t FROM tr WHERE p = 'rdf:type' GROUP BY s)
+    SELECT src, dst, pos, v, degree, t AS type_string, count(*) AS n FROM (SELECT src, dst, unnest(vs[2:]) AS v, CAST(unnest(range(len(vs) - 1)) AS INT) AS pos FROM pt) JOIN deg USING (v) JOIN y USING (v) GROUP BY ALL""")
+def x17_path_profile(kg):
+    p = P.path_profile(_nation_paths(kg), A.vertex_features(kg))
+    return p.groupBy("src", "dst", "pos", "v", "degree", "type_string").agg(F.count(F.lit(1)).alias("n"))
+
+
 LOCAL = """SELECT 'c:' || c_custkey AS src, 's:' || s_suppkey AS dst FROM customer JOIN supplier ON c_nationkey = s_nationkey"""
 
 
@@ -684,56 +717,55 @@ def _local_pairs(kg):
     return c.join(s, "o").select("src", "dst")
 
 
-@graph_query(_paths(LOCAL, "SELECT s, p, o FROM e WHERE p IN ('placed', 'shippedBy')", 3, "gd.degree <= 20"))
+@graph_query(_paths(LOCAL, "SELECT s, p, o FROM e", 3, "gd.degree <= 20"))
 def g2_degree_filtered_paths(kg):
-    adj = P.adjacency(kg.only("placed", "shippedBy").edges, max_degree=20)
+    adj = P.adjacency(kg.edges, max_degree=20)
     return P.rendered(P.simple_paths(_local_pairs(kg), adj, 3))
 
 
-def _topic_kg(spark, d):
-    """Nations and regions of the relational graph, with the topic of the vector of their key."""
-    return _with_topics(spark, d, relational_kg(spark, d).only("inRegion"))
-
-
 def _with_topics(spark, d, kg):
+    """The graph, and the topic of the vector of each vertex's key."""
     v = kg.edges.select(F.explode(F.array("s", "o")).alias("v")).distinct().withColumn("k", F.split_part("v", F.lit(":"), F.lit(2)).try_cast("long"))
     return kg, v.join(_topics(spark, d).select(F.col("v").alias("k"), "topic"), "k").select("v", "topic")
 
 
-def _topic_paths(mode):
-    near = {"consecutive": "w.v", "source": "w.src"}[mode]
-    return f"WITH RECURSIVE {TOPICS}, {sql.TRIPLES.strip()}" + f""", pr AS ({NATIONS}), g AS (SELECT s, p, o FROM e WHERE p = 'inRegion'), ga AS (SELECT s AS v, p, o AS nbr, true AS out FROM g UNION ALL SELECT o, p, s, false FROM g),
-    vt AS (SELECT x.v, t.topic FROM (SELECT DISTINCT v FROM ga) x JOIN t ON t.v = split_part(x.v, ':', 2)::BIGINT),
-    js AS (SELECT a.v AS x, b.v AS y, {JSD} AS d FROM vt a JOIN vt b ON a.v <> b.v),
-    w AS (SELECT src, dst, src AS v, [src] AS seen, 0 AS length, src || ' : ' AS line FROM pr UNION ALL
-      SELECT src, dst, ga.nbr, list_append(seen, ga.nbr), length + 1, line || CASE WHEN length > 0 THEN ', ' ELSE '' END || '(' || ga.p || CASE WHEN ga.out THEN '-Out) ' ELSE '-In) ' END || ga.nbr
-      FROM w JOIN ga ON ga.v = w.v JOIN js ON js.x = {near} AND js.y = ga.nbr WHERE w.v <> dst AND length < 4 AND NOT list_contains(seen, ga.nbr) AND js.d < 0.0052) SELECT src, dst, length, line FROM w WHERE v = dst"""
+def _topic_paths(near: str) -> str:
+    """Every vertex on the way is coherent with the one before it, or with the source; one without a vector passes."""
+    return f"WITH RECURSIVE {TOPICS}, js AS MATERIALIZED (SELECT a.v AS x, b.v AS y, {JSD} AS d FROM t a, t b), {sql.TRIPLES.strip()} {FOUR}" + f""", st AS (SELECT id, {near} AS x, unnest(vs[2:]) AS y FROM pt),
+      nr AS (SELECT v, CAST(split_part(v, ':', 2) AS BIGINT) AS k FROM (SELECT DISTINCT unnest(vs) AS v FROM pt)),
+      ok AS (SELECT id FROM st JOIN nr a ON a.v = st.x JOIN nr b ON b.v = st.y LEFT JOIN js ON js.x = a.k AND js.y = b.k GROUP BY id HAVING bool_and(coalesce(d < 0.0052, true)))
+      SELECT src, dst, length, line FROM pt JOIN ok USING (id)"""
 
 
-@query(_topic_paths("consecutive"))
+@query(_topic_paths("unnest(vs[:len(vs) - 1])"))
 def g3_topic_paths(spark, d):
-    kg, topics = _topic_kg(spark, d)
+    kg, topics = _with_topics(spark, d, relational_kg(spark, d))
     return P.rendered(P.simple_paths(_nation_pairs(kg), P.adjacency(kg.edges, topics=topics, divergence=0.0052), 4))
 
 
-@query(_topic_paths("source"))
+@query(_topic_paths("src"))
 def g3_source_topic_paths(spark, d):
-    kg, topics = _topic_kg(spark, d)
+    kg, topics = _with_topics(spark, d, relational_kg(spark, d))
     return P.rendered(P.simple_paths(_nation_pairs(kg), P.adjacency(kg.edges), 4, topics, 0.0052))
 
 
-@query()
-def g3_topic_paths_whole(spark, d):
-    """As g3_topic_paths, over all edges; a vertex without a vector passes."""
-    kg, topics = _with_topics(spark, d, relational_kg(spark, d))
-    return P.rendered(P.simple_paths(_nation_pairs(kg), P.adjacency(kg.edges, topics=topics, divergence=0.0052), 4))
+def _wanted(spark, d):
+    n = table(spark, d, "nation")
+    return n.select(F.explode(F.array(F.substring("n_name", 1, 5), F.substring("n_name", 3, 5), F.concat("n_name", F.lit("x")))).alias("want")).unionAll(table(spark, d, "part").select(F.substring("p_name", 2, 6)))
 
 
-@query()
-def g3_source_topic_paths_whole(spark, d):
-    """As g3_source_topic_paths, over all edges; a vertex without a vector passes."""
-    kg, topics = _with_topics(spark, d, relational_kg(spark, d))
-    return P.rendered(P.simple_paths(_nation_pairs(kg), P.adjacency(kg.edges), 4, topics, 0.0052))
+WANTED = """w AS (SELECT DISTINCT lower(want) AS want FROM (SELECT unnest([substr(n_name, 1, 5), substr(n_name, 3, 5), n_name || 'x']) AS want FROM nation UNION ALL SELECT substr(p_name, 2, 6) FROM part)),
+    dg AS (SELECT n_name AS v, count(c_custkey) AS degree FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY ALL UNION ALL SELECT p_name, count(*) FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {WANTED}, {phrase_sql('SELECT want AS a, v AS b FROM w, dg')},
+    hit AS (SELECT want, v, degree, CASE WHEN starts_with(lower(v), want) THEN 1 WHEN contains(lower(v), want) THEN 2 WHEN similarity > 0.7 THEN 3 END AS tier FROM w, dg JOIN sim ON a = want AND b = v)
+    SELECT want, v, degree, tier FROM (SELECT *, row_number() OVER (PARTITION BY want ORDER BY tier, degree DESC, v) AS k FROM hit WHERE tier IS NOT NULL) WHERE k = 1""")
+def t2_popular_match(spark, d):
+    n, c, p, l = (table(spark, d, x) for x in ("nation", "customer", "part", "lineitem"))
+    a = n.join(c, n.n_nationkey == c.c_nationkey, "left").groupBy(F.col("n_name").alias("v")).agg(F.count("c_custkey").alias("degree"))
+    b = p.join(l, p.p_partkey == l.l_partkey).groupBy(F.col("p_name").alias("v")).agg(F.count(F.lit(1)).alias("degree"))
+    return P.popular_matches(_wanted(spark, d), a.unionByName(b))
 
 
 @graph_query(", want AS (SELECT DISTINCT substr(v, 1, 3) AS k FROM mt WHERE type IN ('nation', 'region')), hit AS (SELECT k, min(v) AS v FROM want JOIN deg ON starts_with(lower(deg.v), k) GROUP BY k) SELECT a.v AS src, b.v AS dst FROM want x JOIN want y ON true JOIN hit a ON a.k = x.k JOIN hit b ON b.k = y.k WHERE x.k < y.k")
@@ -743,35 +775,25 @@ def g4_matched_pairs(kg):
     return P.matched_pairs(pairs, A.degrees(kg.edges).select("v"))
 
 
-@graph_query(_paths(NATIONS, "SELECT s, p, o FROM e WHERE p = 'inRegion'", 2, tail=""", deep AS (SELECT src, dst, length, line, seen FROM w WHERE v = dst),
-    sc AS (SELECT src, dst, line, avg(1 / log2(1 + gd.degree)) AS k FROM (SELECT src, dst, line, unnest(seen[2:len(seen) - 1]) AS v FROM deep) JOIN gd USING (v) GROUP BY ALL)
-    SELECT deep.src, deep.dst, deep.line, round(coalesce(k, 1), 6) AS specificity FROM deep LEFT JOIN sc USING (src, dst, line)"""))
+@graph_query(FOUR + """, sc AS (SELECT id, avg(1 / log2(1 + degree)) AS k FROM (SELECT id, unnest(vs[2:len(vs) - 1]) AS v FROM pt) JOIN deg USING (v) GROUP BY id)
+    SELECT src, dst, line, round(k, 6) AS specificity, count(*) AS n FROM pt JOIN sc USING (id) GROUP BY ALL""")
 def g5_path_scores(kg):
-    e = kg.only("inRegion").edges
-    scored = P.path_scores(P.simple_paths(_nation_pairs(kg), P.adjacency(e), 2), e)
-    return P.rendered(scored).join(scored, ["src", "dst", "length"]).select("src", "dst", "line", r6("specificity").alias("specificity")).distinct()
-
-
-@graph_query()
-def g5_path_scores_whole(kg):
-    """As g5_path_scores, over all edges and paths of up to four of them."""
     scored = P.path_scores(_nation_paths(kg), kg.edges)
     key = F.concat_ws("\t", F.col("dst"), F.col("specificity").cast("string"))
     lines = P.rendered(scored.withColumn("dst", key))
-    return lines.select("src", F.split_part("dst", F.lit("\t"), F.lit(1)).alias("dst"), "line", r6(F.split_part("dst", F.lit("\t"), F.lit(2)).cast("double")).alias("specificity")).distinct()
+    one = lines.select("src", F.split_part("dst", F.lit("\t"), F.lit(1)).alias("dst"), "line", r6(F.split_part("dst", F.lit("\t"), F.lit(2)).cast("double")).alias("specificity"))
+    return one.groupBy("src", "dst", "line", "specificity").agg(F.count(F.lit(1)).alias("n"))
 
 
-MINE = PAIRS + """, """ + IMAGES.format("i") + """, f1 AS (SELECT * FROM sup WHERE support >= 20),
-  fp AS (SELECT pp.* FROM pp JOIN f1 a ON a.pattern = sig1 JOIN f1 b ON b.pattern = sig2),
-  ii AS (SELECT DISTINCT pattern, t, v FROM (SELECT fp.pattern, unnest([{'t': x.st, 'v': x.s}, {'t': x.dt, 'v': x.o}, {'t': y.st, 'v': y.s}, {'t': y.dt, 'v': y.o}]) AS q FROM fp
-      JOIN i x ON (x.s, x.p, x.o) = (s1, p1, o1) JOIN i y ON (y.s, y.p, y.o) = (s2, p2, o2)), LATERAL (SELECT q.t AS t, q.v AS v)),
-  sup2 AS (SELECT pattern, min(n) AS support FROM (SELECT pattern, t, count(*) AS n FROM ii GROUP BY ALL) GROUP BY pattern), f2 AS (SELECT * FROM sup2 WHERE support >= 20),
-  f AS (SELECT pattern, 1 AS size, support FROM f1 UNION ALL SELECT pattern, 2, support FROM f2),
-  lk AS (SELECT DISTINCT unnest([sig1, sig2]) AS small, pattern AS joined FROM fp JOIN f2 USING (pattern))"""
+#: An edge is in an instance of a pair if another edge of the other pattern is at one of its vertices.
+MINE = ENDS + """, """ + IMAGES.format("i") + """, f1 AS (SELECT * FROM sup WHERE support >= 20), e1 AS (SELECT ends.* FROM ends JOIN f1 ON f1.pattern = sig), k1 AS (SELECT v, sig AS other, count(*) AS k FROM e1 GROUP BY ALL),
+  met AS (SELECT least(sig, other) || ' + ' || greatest(sig, other) AS pattern, sig, s, st, o, dt FROM e1 JOIN k1 USING (v) WHERE sig <> other OR k > 1),
+  sup2 AS (SELECT pattern, min(n) AS support FROM (SELECT pattern, t, count(*) AS n FROM (SELECT pattern, st AS t, s AS x FROM met UNION SELECT pattern, dt, o FROM met) GROUP BY ALL) GROUP BY pattern), f2 AS (SELECT * FROM sup2 WHERE support >= 20),
+  f AS (SELECT pattern, 1 AS size, support FROM f1 UNION ALL SELECT pattern, 2, support FROM f2), lk AS (SELECT DISTINCT sig AS small, pattern AS joined FROM met JOIN f2 USING (pattern))"""
 
 
 def _mined(kg):
-    return M.mine(A.typed_edges(kg.only(*MINED)), 20, 2)
+    return M.mine(A.typed_edges(kg), 20, 2)
 
 
 @graph_query(MINE + " SELECT pattern, size, support FROM f")
@@ -779,9 +801,15 @@ def g6_frequent_patterns(kg):
     return _mined(kg)[0]
 
 
-@graph_query(SMALL + " SELECT s, p, o, sig AS pattern FROM i")
+@graph_query()
+def g6_grown_patterns(kg):
+    """Patterns of up to four edges over all edges, two successors an edge."""
+    return M.mine(A.typed_edges(kg), 20, 4, edge_limit=2)[0]
+
+
+@graph_query(ALL_EDGES + " SELECT s, p, o, sig AS pattern FROM i")
 def g7_edge_instances(kg):
-    i = M.edge_instances(A.typed_edges(kg.only(*MINED)))
+    i = M.edge_instances(A.typed_edges(kg))
     e = F.col("edges")[0]
     return i.select(e["s"].alias("s"), F.split_part("pattern", F.lit("|"), F.lit(2)).alias("p"), e["o"].alias("o"), "pattern")
 
@@ -797,44 +825,8 @@ def g9_status(kg):
     return M.status(*_mined(kg))
 
 
-@graph_query(sql.pagerank(5, "(SELECT * FROM e WHERE p NOT IN ('contains', 'shippedBy'))") + " SELECT v, round(rank, 6) AS rank FROM r5")
-def g10_pagerank(kg):
-    return G.pagerank(kg.edges.where("p not in ('contains', 'shippedBy')"), 5).select("v", r6("rank").alias("rank"))
-
-
-def _mined_whole(kg):
-    return M.mine(A.typed_edges(kg), 20, 2)
-
-
-@graph_query()
-def g6_frequent_patterns_whole(kg):
-    """As g6_frequent_patterns, over all edges."""
-    return _mined_whole(kg)[0]
-
-
-@graph_query(ALL_EDGES + " SELECT s, p, o, sig AS pattern FROM i")
-def g7_edge_instances_whole(kg):
-    """As g7_edge_instances, over all edges."""
-    i = M.edge_instances(A.typed_edges(kg))
-    e = F.col("edges")[0]
-    return i.select(e["s"].alias("s"), F.split_part("pattern", F.lit("|"), F.lit(2)).alias("p"), e["o"].alias("o"), "pattern")
-
-
-@graph_query()
-def g8_dependencies_whole(kg):
-    """As g8_dependencies, over all edges."""
-    return _mined_whole(kg)[1]
-
-
-@graph_query()
-def g9_status_whole(kg):
-    """As g9_status, over all edges."""
-    return M.status(*_mined_whole(kg))
-
-
 @graph_query(sql.pagerank(5, "e") + " SELECT v, round(rank, 6) AS rank FROM r5")
-def g10_pagerank_whole(kg):
-    """As g10_pagerank, over all edges."""
+def g10_pagerank(kg):
     return G.pagerank(kg.edges, 5).select("v", r6("rank").alias("rank"))
 
 
@@ -875,15 +867,8 @@ def g14_dictionary(kg):
     return G.encode_labels(kg.edges.select(F.explode(F.array("s", "o")).alias("label")))
 
 
-@graph_query("SELECT s, p, o, count(*) AS n FROM e WHERE p IN ('inNation', 'inRegion', 'placed') GROUP BY ALL")
-def g14_encode_decode(kg):
-    ints, v, p = G.encode_graph(kg.only(*MINED).edges)
-    return G.decode_graph(ints, v, p).groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
-
-
 @graph_query("SELECT s, p, o, count(*) AS n FROM e GROUP BY ALL")
-def g14_encode_decode_whole(kg):
-    """As g14_encode_decode, over all edges."""
+def g14_encode_decode(kg):
     ints, v, p = G.encode_graph(kg.edges)
     return G.decode_graph(ints, v, p).groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
 
@@ -925,17 +910,9 @@ def p3_sample_and_keep(kg):
     return _edge_rows(S.sample_and_hold(kg.edges, A.degrees(kg.edges).where("degree > 50"), 0.1, 0.5, others=True))
 
 
-@graph_query(sql.pagerank(3, "(SELECT * FROM e WHERE p IN ('placed', 'inNation', 'inRegion'))") + f""", sd AS (SELECT stddev_samp(rank) AS k FROM r3)
-    SELECT s, p, o FROM e JOIN r3 a ON a.v = s JOIN r3 b ON b.v = o, sd WHERE p IN ('placed', 'inNation', 'inRegion') AND (abs(a.rank - b.rank) < 0.5 * k OR {U1} < 0.3)""")
-def p4_similar_rank(kg):
-    e = kg.only(*MINED).edges
-    return S.similar_rank(e, G.pagerank(e, 3), 0.3, 0.5).select("s", "p", "o")
-
-
 @graph_query(sql.pagerank(3, "e") + f""", sd AS (SELECT stddev_samp(rank) AS k FROM r3)
     SELECT s, p, o FROM e JOIN r3 a ON a.v = s JOIN r3 b ON b.v = o, sd WHERE abs(a.rank - b.rank) < 0.5 * k OR {U1} < 0.3""")
-def p4_similar_rank_whole(kg):
-    """As p4_similar_rank, over all edges."""
+def p4_similar_rank(kg):
     return S.similar_rank(kg.edges, G.pagerank(kg.edges, 3), 0.3, 0.5).select("s", "p", "o")
 
 
@@ -957,9 +934,14 @@ def p7_stratified(kg):
     return S.stratified(A.diversity(kg.edges), "diversity", "v")
 
 
-@query()
-def p8_grid(spark, d):
-    return S.grid(relational_kg(spark, d).edges)
+_GRID = ("[10, 20, 30, 40, 50]", "[0.2, 0.4, 0.6, 0.8, 1.0]")
+
+
+@graph_query(f""", rk AS (SELECT v, row_number() OVER (ORDER BY degree, v) - 1 AS r, count(*) OVER () AS n FROM deg), sh AS (SELECT v, least(r, n - 1 - r) AS r, n FROM rk),
+    x AS MATERIALIZED (SELECT least(a.r, b.r) AS r, a.n, {U1} AS x, {U2} AS y FROM e JOIN sh a ON a.v = s JOIN sh b ON b.v = o), g AS (SELECT * FROM (SELECT CAST(unnest({_GRID[0]}) AS INT) AS percent), (SELECT CAST(unnest({_GRID[1]}) AS DOUBLE) AS q), (SELECT CAST(unnest({_GRID[1]}) AS DOUBLE) AS p))
+    SELECT percent, q, p, count(*) FILTER (r < n * percent / 100.0 AND (x < q OR y < p)) AS kept FROM g, x GROUP BY ALL""")
+def p8_grid(kg):
+    return S.grid(kg.edges)
 
 
 # ------------------------------------------------------------------ text
@@ -986,7 +968,7 @@ def n4_triples(spark, d):
 
 @query()
 def n6_document_triples(spark, d):
-    return N.document_triples(table(spark, d, "documents"), least=0.8)
+    return N.document_triples(table(spark, d, "documents"))
 
 
 @query("SELECT DISTINCT c_name AS s, 'rdf:type' AS p, c_mktsegment AS o FROM customer")
@@ -1001,20 +983,22 @@ def n8_bootstrap_rules(kg):
 
 # ------------------------------------------------------------------ linking
 
-BLOCKS = """b AS (SELECT r_name AS block, n_name AS s, 'inRegion' AS p, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey),
-    en AS (SELECT n_name AS entity FROM nation UNION SELECT r_name FROM region), ed AS (SELECT n_name AS s, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey),
+BLOCKS = """b AS (SELECT r_name AS block, n_name AS s, 'inRegion' AS p, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT p_brand, p_name, 'isA', p_type FROM part),
+    en AS (SELECT s AS entity FROM b UNION SELECT o FROM b), ed AS (SELECT DISTINCT s, o FROM b),
     mn AS (SELECT DISTINCT block, unnest([s, o]) AS mention FROM b), nb AS (SELECT v, list(DISTINCT x) AS nbrs FROM (SELECT s AS v, o AS x FROM ed UNION ALL SELECT o, s FROM ed) GROUP BY v)"""
 
 
 def _blocks(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    """Regions with their nations and brands with their parts as blocks; all names that occur as entities."""
+    n, r, p = (table(spark, d, x) for x in ("nation", "region", "part"))
     both = n.join(r, n.n_regionkey == r.r_regionkey)
     triples = both.select(F.col("r_name").alias("block"), F.col("n_name").alias("s"), F.lit("inRegion").alias("p"), F.col("r_name").alias("o"))
-    labels = n.select(F.col("n_name").alias("entity")).union(r.select("r_name")).distinct().withColumn("label", F.col("entity"))
-    return triples, labels, triples.select("s", "p", "o")
+    triples = triples.unionAll(p.select(F.col("p_brand").alias("block"), F.col("p_name").alias("s"), F.lit("isA").alias("p"), F.col("p_type").alias("o"))).distinct()
+    labels = triples.select(F.explode(F.array("s", "o")).alias("entity")).distinct().withColumn("label", F.col("entity"))
+    return triples, labels, triples.select("s", "p", "o").distinct()
 
 
-@query()
+@query(f"WITH RECURSIVE {BLOCKS}, {phrase_sql('SELECT mention AS a, entity AS b FROM (SELECT DISTINCT mention FROM mn), en')} SELECT a AS mention, b AS entity, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.7")
 def e1_candidates(spark, d):
     triples, labels, _ = _blocks(spark, d)
     return E.candidates(labels, E.mentions(triples)).withColumn("similarity", r6("similarity"))
@@ -1061,7 +1045,8 @@ def e6_link(spark, d):
     return E.link(triples, labels, edges).withColumn("score", r6("score"))
 
 
-@query()
+@query(f"""WITH {SCORES}, pp AS (SELECT block, mention, entity, score, len(nbrs) AS popularity FROM sc JOIN nb ON nb.v = entity), x AS (SELECT block, mention, entity, 0.7 * score + 0.25 * popularity / greatest(1, max(popularity) OVER (PARTITION BY block, mention)) + 0.05 AS score FROM pp)
+    SELECT block, mention, entity, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY block, mention ORDER BY score DESC, entity) AS INT) AS rank FROM x QUALIFY rank <= 10""")
 def e8_weighted(spark, d):
     said, cand, edges = _exact(spark, d)
     return E.weighted(cand, said, edges).withColumn("score", r6("score"))
@@ -1070,41 +1055,6 @@ def e8_weighted(spark, d):
 # ------------------------------------------------------------------ link prediction
 
 
-def _fixed_scores(spark, d):
-    """Every customer segment and part type with a score that SQL can compute too."""
-    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("user")).distinct()
-    i = table(spark, d, "part").select(F.col("p_type").alias("item")).distinct()
-    return c.crossJoin(i).withColumn("score", C.uniform(F.col("user"), F.col("item")))
-
-
-def _bought(spark, d):
-    c, o, l, p = (table(spark, d, x) for x in ("customer", "orders", "lineitem", "part"))
-    all_ = c.join(o, c.c_custkey == o.o_custkey).join(l, o.o_orderkey == l.l_orderkey).join(p, l.l_partkey == p.p_partkey)
-    return all_.select(F.col("c_nationkey").cast("string").alias("user"), F.col("p_type").alias("item"), (F.col("l_suppkey") % 50 == 0).alias("test"), (F.col("l_suppkey") % 7 == 0).alias("train"))
-
-
-BOUGHT = """sc AS (SELECT "user", item, ('0x' || substr(md5("user" || '|' || item || '|0'), 1, 8))::BIGINT / 4294967296.0 AS score FROM (SELECT DISTINCT c_nationkey::VARCHAR AS "user" FROM customer), (SELECT DISTINCT p_type AS item FROM part)),
-    bt AS (SELECT c_nationkey::VARCHAR AS "user", p_type AS item, l_suppkey % 50 = 0 AS test, l_suppkey % 7 = 0 AS train FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey),
-    te AS (SELECT DISTINCT "user", item FROM bt WHERE test), tr AS (SELECT DISTINCT "user", item FROM bt WHERE train EXCEPT SELECT * FROM te)"""
-
-
-@query(f'WITH {BOUGHT} SELECT "user", item, round(score, 9) AS score, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) AS rank FROM sc ANTI JOIN tr USING ("user", item)')
-def w3_ranked_items(spark, d):
-    b = _bought(spark, d)
-    test = b.where("test").select("user", "item").distinct()
-    return L.ranked(_fixed_scores(spark, d), b.where("train").select("user", "item").subtract(test)).withColumn("score", F.round("score", 9)).withColumn("rank", F.col("rank").cast("long"))
-
-
-@query(f"""WITH {BOUGHT}, ot AS (SELECT * FROM sc ANTI JOIN tr USING ("user", item) ANTI JOIN te USING ("user", item)),
-    pr AS (SELECT te."user", te.item, count(*) FILTER (ot.score > sc.score OR (ot.score = sc.score AND ot.item < sc.item)) AS above, count(ot.item) AS others FROM te JOIN sc ON sc."user" = te."user" AND sc.item = te.item LEFT JOIN ot ON ot."user" = te."user" GROUP BY ALL)
-    SELECT round(avg((above < 10)::INT), 6) AS hr, round(avg(CASE WHEN above < 10 THEN 1.0 / (above + 1) ELSE 0 END), 6) AS arhr, round(avg(CASE WHEN others > 0 THEN 1 - above / others END), 6) AS auc FROM pr""")
-def l5_evaluate(spark, d):
-    b = _bought(spark, d)
-    test = b.where("test").select("user", "item").distinct()
-    e = L.evaluate(_fixed_scores(spark, d), b.where("train").select("user", "item").subtract(test), test)
-    return e.select(*[r6(c).alias(c) for c in ("hr", "arhr", "auc")])
-
-
 def _purchases(spark, d):
     """(user, item, test): each distinct customer and part over all of lineitem; the pair alone decides its side."""
     o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
@@ -1118,10 +1068,15 @@ def _part_scores(spark, d):
     return c.crossJoin(p).withColumn("score", C.uniform(F.col("user"), F.col("item")))
 
 
-@query()
+SCORED = """md AS (SELECT "user", item, "user" || '|' || item AS k FROM (SELECT c_custkey::VARCHAR AS "user" FROM customer), (SELECT p_partkey::VARCHAR AS item FROM part)),
+    sc AS (SELECT "user", item, ('0x' || substr(md5(k || '|0'), 1, 8))::BIGINT / 4294967296.0 AS score FROM md), bt AS (SELECT DISTINCT o_custkey::VARCHAR AS "user", l_partkey::VARCHAR AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+    bs AS (SELECT *, ('0x' || substr(md5("user" || '|' || item || '|1'), 1, 8))::BIGINT / 4294967296.0 < 0.1 AS test FROM bt)"""
+
+
+@query(f"""WITH {SCORED} SELECT "user", item, round(score, 9) AS score, rank FROM (SELECT "user", item, score, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) AS rank FROM sc ANTI JOIN (FROM bs WHERE NOT test) USING ("user", item)) WHERE rank <= 10""")
 def w3_ranked_parts(spark, d):
-    """As w3_ranked_items, over all customers, parts and lineitems."""
-    return L.ranked(_part_scores(spark, d), _purchases(spark, d).where("not test")).withColumn("score", F.round("score", 9)).withColumn("rank", F.col("rank").cast("long"))
+    """The ten best parts of every customer but those it has bought, over all customers, parts and lineitems."""
+    return L.ranked(_part_scores(spark, d), _purchases(spark, d).where("not test"), 10).withColumn("score", F.round("score", 9)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("""WITH md AS (SELECT "user", item, "user" || '|' || item AS k FROM (SELECT c_custkey::VARCHAR AS "user" FROM customer), (SELECT p_partkey::VARCHAR AS item FROM part)),
@@ -1132,16 +1087,17 @@ def w3_ranked_parts(spark, d):
     pr AS (SELECT asked, count(*) FILTER (NOT asked) OVER (PARTITION BY "user" ORDER BY score DESC, item) AS above, count(*) FILTER (NOT asked) OVER (PARTITION BY "user") AS others FROM x)
     SELECT round(avg((above < 10)::INT), 6) AS hr, round(avg(CASE WHEN above < 10 THEN 1.0 / (above + 1) ELSE 0 END), 6) AS arhr, round(avg(CASE WHEN others > 0 THEN 1 - above / others END), 6) AS auc FROM pr WHERE asked""")
 def l5_evaluate_parts(spark, d):
-    """As l5_evaluate, over all customers, parts and lineitems."""
+    """Over all customers, parts and lineitems."""
     b = _purchases(spark, d)
     e = L.evaluate(_part_scores(spark, d), b.where("not test"), b.where("test"))
     return e.select(*[r6(c).alias(c) for c in ("hr", "arhr", "auc")])
 
 
 @query()
-def l4_train_and_score(spark, d):
-    users, items = L.train(_purchases(spark, d).where("not test"), L.Settings(factors=8, epochs=5))
-    return L.scores(users, items).withColumn("score", r6("score"))
+def l4_train_and_recommend(spark, d):
+    """Trained with the default settings on the customers' parts; the ten best others of every customer."""
+    bought = _purchases(spark, d).where("not test")
+    return L.recommend(*L.train(bought), bought, 10).withColumn("score", r6("score"))
 
 
 # ------------------------------------------------------------------ sinks and windows
@@ -1157,16 +1113,9 @@ def k5_dot(kg):
     return K.dot(A.typed_edges(kg).select("st", "dt", "p").distinct(), "st", "dt", "p", "types")
 
 
-@graph_query(_paths(NATIONS, "SELECT s, p, o FROM e WHERE p = 'inRegion'", 2, tail="""SELECT src, dst, string_agg(CASE WHEN k = 1 THEN 'Outgoing ; ' || seen[1] || ' ; inRegion ; ' || seen[2] ELSE 'Incoming ; ' || seen[3] || ' ; inRegion ; ' || seen[2] END, chr(10) ORDER BY k) || chr(10) AS value
-    FROM (SELECT src, dst, seen, unnest([1, 2]) AS k FROM w WHERE v = dst) GROUP BY src, dst"""))
+@graph_query(FOUR + """, ln AS (SELECT src, dst, list_transform(range(1, len(steps) + 1), lambda k: CASE WHEN steps[k][2] THEN 'Outgoing ; ' || vs[k] || ' ; ' || steps[k][1] || ' ; ' || vs[k + 1] ELSE 'Incoming ; ' || vs[k + 1] || ' ; ' || steps[k][1] || ' ; ' || vs[k] END) AS x FROM pt)
+    SELECT src, dst, array_to_string(x, chr(10)) || chr(10) AS value FROM ln""")
 def k3_labelled_paths(kg):
-    e = kg.only("inRegion").edges
-    return K.labelled_paths(P.simple_paths(_nation_pairs(kg), P.adjacency(e), 2))
-
-
-@graph_query()
-def k3_labelled_paths_whole(kg):
-    """As k3_labelled_paths, over all edges and paths of up to four of them."""
     return K.labelled_paths(_nation_paths(kg))
 
 
@@ -1175,9 +1124,9 @@ def k8_turtle(kg):
     return K.turtle(kg.triples)
 
 
-@graph_query("SELECT 'v ' || v || ' ' || type AS value FROM mt UNION ALL SELECT 'e ' || s || ' ' || o || ' 1' FROM e WHERE p = 'placed'")
+@graph_query("SELECT 'v ' || v || ' ' || type AS value FROM mt UNION ALL SELECT 'e ' || s || ' ' || o || ' 1' FROM e")
 def k10_sampled_graph(kg):
-    return K.sampled_graph(kg.main_type.withColumnRenamed("type", "label"), kg.edges.where("p = 'placed'"))
+    return K.sampled_graph(kg.main_type.withColumnRenamed("type", "label"), kg.edges)
 
 
 @graph_query("SELECT type AS cluster, array_to_string(list_sort(list(v)), ',') AS members FROM mt GROUP BY type")
