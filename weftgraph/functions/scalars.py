@@ -86,6 +86,11 @@ def doublings(most: int) -> int:
     return int(math.log2(most))
 
 
+def doublings_of(most: Column) -> Column:
+    """As ``doublings``, of a column."""
+    return (F.length(F.bin(most.cast("long"))) - 1).cast("int")
+
+
 def tokens(phrase: Column) -> Column:
     """Lower-case parts between space, ``_``, ``,`` and ``$``, sorted."""
     return F.array_sort(F.filter(F.split(F.lower(phrase), "[ _,$]"), lambda x: x != ""))
@@ -146,16 +151,12 @@ def phrase_similarity(query: Column, phrase: Column) -> Column:
     return _pairwise(phrase_similarity_of)(query, phrase)
 
 
-def _js_of(a, b) -> float | None:
-    if a is None or b is None or len(a) != len(b):
-        return None
-    return sum((x * math.log2(2 * x / (x + y)) if x else 0) / 2 + (y * math.log2(2 * y / (x + y)) if y else 0) / 2 for x, y in zip(a, b))
-
-
 def register(spark: SparkSession) -> None:
-    """``phrase_sim(query, phrase)`` and ``js_divergence(p, q)`` in SQL."""
+    """``phrase_sim(query, phrase)`` and ``js_divergence(p, q)`` in SQL; the latter is a SQL function over built-in ones."""
     spark.udf.register("phrase_sim", _pairwise(phrase_similarity_of))
-    spark.udf.register("js_divergence", _pairwise(_js_of))
+    part = "CASE WHEN {0} = 0 THEN 0D ELSE {0} * log2(2 * {0} / ({0} + {1})) END"
+    body = f"aggregate(zip_with(p, q, (a, b) -> ({part.format('a', 'b')} + {part.format('b', 'a')}) / 2), 0D, (s, x) -> s + x)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION js_divergence(p ARRAY<DOUBLE>, q ARRAY<DOUBLE>) RETURNS DOUBLE RETURN CASE WHEN size(p) = size(q) THEN {body} END")
 
 
 def coreference(sentence: Column, mentions: Column) -> Column:

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kg import relational_kg, shared_folder, table
+from ..functions import scalars as C
+from ..kg import KG, relational_kg, shared_folder, table
 from ..operators import mining as M
 from ..operators import paths as P
+from ..operators import sampling as S
 from ..operators import stats as A
 from ..operators import text as N
 from ..operators import graph as G
@@ -172,3 +174,225 @@ def j6_shared_edge(spark, d):
     two, _ = M.grow(one)
     three, _ = M.grow(two, shared="edge")
     return three.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ readers and sinks that only files can show
+
+
+def _folder(spark, suffix: str = "") -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}{suffix}"
+
+
+@query("SELECT 'c:' || c_custkey AS s, 'rdf:type' AS p, 'Type_' || c_mktsegment AS o FROM customer UNION ALL SELECT 'c:' || o_custkey, 'E', 'o:' || o_orderkey FROM orders")
+def s8_prefixed_labels(spark, d):
+    kg = relational_kg(spark, d)
+    v = kg.main_type.where("v like 'c:%'").select("v", F.col("type").alias("label"))
+    return R.labelled_graph(spark, _written(K.sampled_graph(v, kg.edges.where("p = 'placed'")), "value"), prefix="Type_").select("s", "p", "o")
+
+
+@query(sql.kg("SELECT p, count(*) AS n, CAST(1 AS BIGINT) AS names FROM e GROUP BY p"))
+def s12_hashed_predicates(spark, d):
+    e = relational_kg(spark, d).edges.withColumn("name", F.col("p"))
+    return R.predicates_hashed(e).groupBy(F.col("name").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p").alias("names"))
+
+
+@query(sql.kg("""SELECT 'lg' AS kind, 'E' AS p, count(*) AS n FROM orders UNION ALL SELECT 'lg', 'rdf:type', count(*) FROM mt UNION ALL SELECT 'els', 'shippedby', count(*) FROM lineitem
+    UNION ALL SELECT 'els', 'rdf:type', count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'tsv', 'shippedby', count(*) FROM lineitem"""))
+def s13_read_by_suffix(spark, d):
+    kg = relational_kg(spark, d)
+    ships = kg.edges.where("p = 'shippedBy'")
+    out = None
+    for kind, df in (("lg", K.sampled_graph(kg.main_type.select("v", F.replace("type", F.lit(" "), F.lit("_")).alias("label")), kg.edges.where("p = 'placed'"))), ("els", ships.select("s", "p", "o")), ("tsv", ships.select("s", "p", "o"))):
+        path = _folder(spark, "." + kind)
+        K.lines(df, path)
+        x = R.read_graph(spark, path).groupBy("p").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "p", "n")
+        out = x if out is None else out.unionAll(x)
+    return out
+
+
+@query(sql.kg("SELECT s, p, o, count(*) AS n FROM tr GROUP BY ALL"))
+def s14_graph_file(spark, d):
+    """K7 and S14: a graph written and read as Parquet."""
+    path = _folder(spark, ".parquet")
+    K.graph(relational_kg(spark, d).triples, path)
+    return R.read_graph(spark, path).groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_name AS s, 'livesIn' AS p, n_name AS o, count(*) OVER (PARTITION BY n_nationkey) AS in_block FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def s19_nlp_blocks_file(spark, d):
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    line = c.join(n, c.c_nationkey == n.n_nationkey).select("n_nationkey", F.concat_ws("\t", "c_name", F.lit("livesIn"), "n_name").alias("line"))
+    block = line.groupBy("n_nationkey").agg(F.concat(F.array_join(F.collect_list("line"), "\n"), F.lit("\n;")).alias("value"))
+    b = R.nlp_blocks(spark, _written(block, "value"))
+    return b.join(b.groupBy("file", "block").agg(F.count(F.lit(1)).alias("in_block")), ["file", "block"]).select("s", "p", "o", "in_block")
+
+
+@query("SELECT conv_id || '' AS source, line FROM (SELECT conv_id, unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE trim(line) <> ''")
+def s21_article_file(spark, d):
+    c = table(spark, d, "conversations")
+    json = F.to_json(F.struct(F.col("text").alias("content"), F.struct(F.col("conv_id").cast("string").alias("canonical")).alias("meta")))
+    return R.document_lines(spark, _written(c, json.alias("value")), "article")
+
+
+@query("SELECT doc_id || '' AS source, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''")
+def s22_configured_corpus(spark, d):
+    path = _folder(spark, ".json")
+    K.lines(table(spark, d, "documents").select(F.to_json(F.struct("text", F.col("doc_id").cast("string").alias("url"))).alias("value")), path)
+    return R.corpus(spark, R.config(f"# a corpus\nfiles = {path},notes.txt\nformat = web\n"))
+
+
+@query(r"""SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, url FROM pages""")
+def s24_open_graph_json(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url", R.html_fields(F.col("html")).alias("h"))
+    j = F.to_json(F.struct(F.struct(F.nullif("h.title", F.lit("")).alias("title")).alias("open_graph"), "url"))
+    return p.select("page_id", R.open_graph_json(j).alias("x")).select("page_id", "x.title", "x.url")
+
+
+@query("""SELECT p_partkey || '' AS source, p_name AS s, p, o FROM (SELECT p_partkey, p_name, unnest([{'p': 'hasFeature', 'o': p_brand}, {'p': 'hasFeature', 'o': p_size || ''}, {'p': 'rdf:type', 'o': p_type}]) AS x FROM part), LATERAL (SELECT x.p AS p, x.o AS o)""")
+def s26_product_pages(spark, d):
+    page = F.array("p_name", F.lit(""), F.lit("Features"), "p_brand", F.col("p_size").cast("string"), F.lit(""), F.lit("Category"), "p_type")
+    lines = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("source"), F.posexplode(page).alias("pos", "line"))
+    return R.product_triples(lines)
+
+
+@query("SELECT doc_id || '' AS source, arg_min(line, pos) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE contains(line, 'the') GROUP BY doc_id")
+def s26_snippets(spark, d):
+    lines = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return R.snippet(lines, "the")
+
+
+@query("""SELECT p, o, count(*) AS n FROM (SELECT unnest([{'p': 'hasTs', 'o': event_id || ''}, {'p': 'hasUser', 'o': 'U' || user_id}, {'p': 'hasSource', 'o': event_type}, {'p': 'hasTarget', 'o': 'C' || user_id}]) AS x FROM events), LATERAL (SELECT x.p AS p, x.o AS o) GROUP BY ALL""")
+def s28_security_log(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user"), "event_type", F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("target"))
+    return R.security_log(spark, _written(e, *e.columns, separator=","), "redteam").groupBy("p", "o").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql.kg("SELECT sig AS pattern, CAST(len(list(DISTINCT s)) AS INT) AS nodes, min(s) AS first FROM te WHERE st = 'supplier' OR dt = 'supplier' GROUP BY sig"))
+def s29_pattern_nodes_file(spark, d):
+    t = A.typed_edges(relational_kg(spark, d)).where("st = 'supplier' or dt = 'supplier'")
+    rows = t.groupBy(F.concat_ws("|", "st", "p", "dt").alias("pattern")).agg(F.array_sort(F.collect_set("s")).alias("nodes"))
+    path = _written(rows, F.concat("pattern", F.lit(",Set("), F.array_join("nodes", ", "), F.lit(")")).alias("value"))
+    return R.pattern_nodes(spark, path).select("pattern", F.size("nodes").alias("nodes"), F.array_min("nodes").alias("first"))
+
+
+@query('SELECT CAST(s_nationkey + 1 AS INT) AS "user", CAST(s_suppkey + 1 AS INT) AS item FROM supplier')
+def s30_ratings_file(spark, d):
+    """A row for each nation with its suppliers; the format is one file of which each line is a user."""
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    row = n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda x: (x + 1).cast("string")), " ").alias("line"))
+    whole = row.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "line"))).alias("x")).select(F.concat_ws("\n", F.lit("0 0 0"), F.array_join(F.transform("x", lambda r: r["line"]), "\n")).alias("value"))
+    return R.ratings(spark, _written(whole.coalesce(1), "value"))
+
+
+@query("SELECT c_name AS label, c_custkey::INT AS id FROM customer")
+def s30_subject_file(spark, d):
+    return R.subjects(spark, _written(table(spark, d, "customer"), "c_name", "c_custkey", separator=" "))
+
+
+@query("SELECT doc_id || '' AS heading, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY 1")
+def s31_paper_file(spark, d):
+    section = lambda heading, text: F.struct(heading.alias("heading"), text.alias("text"))
+    paper = F.to_json(F.struct(F.array(section(F.col("doc_id").cast("string"), F.col("text")), section(F.lit("References"), F.lit("left out"))).alias("sections")))
+    return R.paper_lines(spark, _written(table(spark, d, "documents"), paper.alias("value"))).groupBy("heading").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql.kg(Q.FOUR + " SELECT src, dst, line AS value FROM pt"))
+def k2_paths_by_pair(spark, d):
+    path = _folder(spark)
+    K.paths_by_pair(Q._nation_paths(relational_kg(spark, d)), path)
+    return spark.read.schema("value string, src string, dst string").text(path)
+
+
+@query(sql.kg("SELECT small, joined FROM (" + Q.MINE.lstrip(", ").replace("i AS", "WITH i AS", 1) + " SELECT small, joined FROM lk)"))
+def k4_dependency_file(spark, d):
+    path = _folder(spark)
+    K.dependencies(Q._mined(relational_kg(spark, d))[1], path)
+    f = F.split("value", "=>")
+    return spark.read.text(path).select(f[0].alias("small"), f[1].alias("joined"))
+
+
+@query(sql.kg(Q.PER_BATCH + " SELECT batch, pattern, support FROM ps"))
+def k1_batch_pattern_file(spark, d):
+    path = _folder(spark)
+    K.batch_patterns(Q._per_batch(relational_kg(spark, d)), path)
+    f = F.split("value", "\t")
+    return spark.read.text(path).select(f[0].cast("long").alias("batch"), f[1].alias("pattern"), f[2].cast("long").alias("support"))
+
+
+@query("SELECT s_nationkey::DOUBLE AS label, round(s_acctbal, 4) AS a, (s_suppkey + 1)::DOUBLE AS b FROM supplier")
+def k9_libsvm_file(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    path = _folder(spark)
+    K.libsvm(table(spark, d, "supplier").withColumn("key", F.col("s_suppkey") + 1), path, "s_nationkey", ["s_acctbal", "key"])
+    x = spark.read.format("libsvm").option("numFeatures", "2").load(path).select("label", vector_to_array("features").alias("f"))
+    return x.select("label", F.round(F.col("f")[0], 4).alias("a"), F.col("f")[1].alias("b"))
+
+
+@query(sql.kg("SELECT mt.v, type, degree FROM mt LEFT JOIN deg USING (v)"))
+def j4_left_join(spark, d):
+    kg = relational_kg(spark, d)
+    return kg.main_type.join(A.degrees(kg.edges), "v", "left").select("v", "type", "degree")
+
+
+@query(sql.kg("SELECT count(DISTINCT sig) AS patterns, count(DISTINCT sig) AS keys FROM te"))
+def c8_pattern_keys(spark, d):
+    t = A.typed_edges(relational_kg(spark, d)).select(F.concat_ws("|", "st", "p", "dt").alias("sig"))
+    return t.agg(F.countDistinct("sig").alias("patterns"), F.countDistinct(C.pattern_key(F.col("sig"))).alias("keys"))
+
+
+@query(sql.kg(", x AS (SELECT s, array_to_string(list_sort(list(sig)), ' + ') AS pattern FROM (SELECT DISTINCT s, p, o, sig FROM te) GROUP BY s) SELECT pattern, count(*) AS n FROM x GROUP BY pattern"))
+def c11_canonical_patterns(spark, d):
+    """All edges out of a vertex as one sorted set: its pattern doesn't depend on their order."""
+    i = M.edge_instances(A.typed_edges(relational_kg(spark, d))).select(F.col("edges")[0].alias("e"))
+    per = i.groupBy(F.col("e.s").alias("s")).agg(F.array_join(F.array_sort(F.collect_list("e.sig")), M.JOINER).alias("pattern"))
+    return per.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\bthe\b', 'THE', 'g'), '\band\b', 'AND', 'g') AS text FROM conversations")
+def c12_coreference(spark, d):
+    pairs = F.array(F.struct(F.lit("the").alias("mention"), F.lit("THE").alias("name")), F.struct(F.lit("and").alias("mention"), F.lit("AND").alias("name")))
+    return table(spark, d, "conversations").select("conv_id", "turn", C.coreference(F.col("text"), pairs).alias("text"))
+
+
+@query("SELECT p_size, CAST(floor(log2(p_size) + 1e-9) AS INT) AS rounds FROM (SELECT DISTINCT p_size FROM part WHERE p_size > 0)")
+def c13_doublings(spark, d):
+    return table(spark, d, "part").where("p_size > 0").select("p_size").distinct().select("p_size", C.doublings_of(F.col("p_size")).alias("rounds"))
+
+
+@query("SELECT doc_id, 'd:' || doc_id AS s, 'writtenIn' AS p, lang AS o, source AS ts, n_chars AS url FROM documents")
+def n7_provenance(spark, d):
+    docs = table(spark, d, "documents")
+    t = docs.select("doc_id", F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("s"), F.lit("writtenIn").alias("p"), F.col("lang").alias("o"))
+    return N.with_provenance(t, docs.select("doc_id", F.col("source").alias("ts"), F.col("n_chars").alias("url")).distinct())
+
+
+@query(sql.kg("SELECT st, p, dt, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM te GROUP BY st, p, dt"))
+def n9_flagship(spark, d):
+    """The flagship query over a graph that was written as labelled lines and read again."""
+    kg = relational_kg(spark, d)
+    path = _written(kg.triples, "s", "p", "o")
+    f = F.split("value", "\t")
+    back = KG(spark.read.text(path).select(f[0].alias("s"), f[1].alias("p"), f[2].alias("o"), F.lit(None).cast("timestamp").alias("ts")))
+    return A.distribution(A.signature_counts(A.typed_edges(back))).withColumn("share", F.round("share", 6))
+
+
+@query(sql.kg(sql.pagerank(3, "e") + f""", m AS (SELECT min(rank) AS lo, max(rank) AS hi FROM r3), b AS (SELECT v FROM r3, m WHERE rank <= lo + (hi - lo) * 5 / 100 OR rank >= hi - (hi - lo) * 5 / 100)
+    SELECT s, p, o, count(*) AS n FROM e WHERE (s IN (SELECT v FROM b) OR o IN (SELECT v FROM b)) AND ({Q.U1} < 0.5 OR {Q.U2} < 0.1) GROUP BY ALL"""))
+def x9_rank_metric_sample(spark, d):
+    e = relational_kg(spark, d).edges
+    return S.sample_and_hold(e, S.value_band(G.pagerank(e, 3), "rank", 5), 0.1, 0.5).groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {Q.TOPICS} SELECT a.v, round({Q.JSD}, 6) AS d FROM t a JOIN t b ON b.v = a.v + 1")
+def c3_registered_divergence(spark, d):
+    """The functions as SQL sees them."""
+    C.register(spark)
+    Q._topic_pairs(spark, d).createOrReplaceTempView("topic_pairs")
+    return spark.sql("SELECT v, round(js_divergence(x, y), 6) AS d FROM topic_pairs")
+
+
+@query()
+def x16_ontology(spark, d):
+    """Co-occurring words to clusters and their members."""
+    return K.clusters(G.clusters(Q._keywords(spark, d), 4))

@@ -542,6 +542,12 @@ def f13_english(spark, d):
     return table(spark, d, "documents").where(FI.english(F.col("text"), F.col("lang"))).select("doc_id")
 
 
+@query(r"SELECT doc_id FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{L}]+') AS w FROM documents) WHERE len(list_filter(w, lambda x: x IN ('the', 'and', 'of', 'to', 'in', 'a', 'is', 'that', 'for', 'it', 'was', 'on', 'with', 'as'))) >= 0.1 * len(w)")
+def f13_guessed_english(spark, d):
+    """Without a label, by the share of frequent words."""
+    return table(spark, d, "documents").where(FI.english(F.col("text"))).select("doc_id")
+
+
 _HITS = " + ".join(f"contains(lower(line), '{w}')::BIGINT" for w in ("the", "and", "tion", "ment", "sch"))
 
 
