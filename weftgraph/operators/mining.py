@@ -37,25 +37,28 @@ def support(instances: DataFrame) -> DataFrame:
     return count.groupBy("pattern").agg(F.min("n").alias("support"))
 
 
-def grow(instances: DataFrame, shared: str = "vertex", current=None, edge_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def grow(instances: DataFrame, shared: str = "vertex", current=None, edge_limit: int | None = None, fresh: bool = False) -> tuple[DataFrame, DataFrame]:
     """New instances, and (small, joined) pattern pairs.
 
-    Unites any two instances that share a vertex or an edge. ``current`` asks for one of that batch in each pair;
+    Unites any two instances that share a vertex or an edge. ``current`` asks for one of that batch in each pair, ``fresh``
+    for one with that mark;
     ``edge_limit`` joins an instance only with so many that follow it at the shared place, in order of their edges.
     """
     place = {
         "vertex": lambda e: F.array_union(F.transform(e, lambda x: x["s"]), F.transform(e, lambda x: x["o"])),
         "edge": lambda e: F.transform(e, lambda x: x["id"].cast("string")),
     }[shared](F.col("edges"))
-    at = instances.select("id", "pattern", "batch", F.explode(place).alias("at"))
+    mark = F.col("fresh") if fresh else F.lit(True)
+    at = instances.select("id", "pattern", "batch", mark.alias("fresh"), F.explode(place).alias("at"))
     if edge_limit is not None:
         # ranks come from range partitions and followers by arithmetic, so a hub is sorted and joined in many tasks
         order = F.concat_ws(JOINER, F.transform("edges", lambda x: F.concat_ws("|", x["s"], x["sig"], x["o"])))
-        at = ranked_rows(instances.select("id", "pattern", "batch", order.alias("order"), F.explode(place).alias("at")), "at", "order").drop("order")
-        after = at.select(*[F.col(c).alias(c + "_b") for c in ("id", "pattern", "batch")], "at", F.explode(F.expr(f"transform(sequence(1, {edge_limit}), k -> rank0 - k)")).alias("rank0"))
+        at = ranked_rows(instances.select("id", "pattern", "batch", mark.alias("fresh"), order.alias("order"), F.explode(place).alias("at")), "at", "order").drop("order")
+        after = at.select(*[F.col(c).alias(c + "_b") for c in ("id", "pattern", "batch", "fresh")], "at", F.explode(F.expr(f"transform(sequence(1, {edge_limit}), k -> rank0 - k)")).alias("rank0"))
         pair = at.join(after, ["rank0", "at"])
     else:
         pair = at.join(at.select(*[F.col(c).alias(c + "_b") for c in at.columns if c != "at"], "at"), "at").where("id < id_b")
+    pair = pair.where("fresh or fresh_b")
     if current is not None:
         pair = pair.where((F.col("batch") == current) | (F.col("batch_b") == current))
     pair = pair.select(F.least("id", "id_b").alias("id"), F.greatest("id", "id_b").alias("id_b")).distinct()

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kg import YEAR_MS, batch_id
+from ..kg import YEAR_MS, batch_id, checkpointed
 from ..operators.filters import recent
-from ..operators.mining import support, edge_instances
+from ..operators.mining import edge_instances, grow, support
 
 TRIPLE = "s string, p string, o string, st string, dt string, ts timestamp"
 
@@ -28,31 +28,61 @@ def windowed_signatures(stream: DataFrame, length: str = "1095 days", slide: str
 
 
 class SlidingMiner:
-    """``foreachBatch`` target: keeps the triples of the last ``window`` batches as a table in ``folder`` and writes the
-    frequent one-edge patterns of every window. A repeated micro-batch overwrites its own files, so results are exactly once."""
+    """``foreachBatch`` target: frequent patterns of one and two edges over the last ``window`` batches of event time.
+
+    State is what the mining needs and no more: the edges of the window, and the instances that were grown from edges of
+    frequent patterns. A micro-batch adds its edges, and only pairs are grown that have an edge which is new, or whose
+    pattern has become frequent; instances with an edge that left the window go. So each result is that of mining the whole
+    window anew. The window ends with the latest batch seen so far: late rows within it count, rows before it don't, and it
+    never moves back. The state of an epoch is read from the epoch before and written as a table of its own, so a repeated
+    micro-batch overwrites its own files and results are exactly once.
+    """
 
     def __init__(self, folder: str, window: int = 3, least: int = 2, size_ms: int = YEAR_MS):
         self.folder, self.window, self.least, self.size_ms = folder, window, least, size_ms
 
+    def _state(self, spark, kind: str, epoch: int) -> DataFrame | None:
+        path = f"{self.folder}/{kind}/epoch={epoch}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        return spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
     def __call__(self, micro: DataFrame, epoch: int) -> None:
-        new = with_batch(micro, self.size_ms)
-        new.write.mode("overwrite").partitionBy("batch").parquet(f"{self.folder}/triples/epoch={epoch}")
-        current = new.agg(F.max("batch")).first()[0]
-        if current is None:
-            return
         spark = micro.sparkSession
-        all_ = spark.read.option("basePath", f"{self.folder}/triples").parquet(f"{self.folder}/triples/*").where(F.col("epoch") <= epoch)
-        held = in_window(all_.withColumn("batch", F.col("batch").cast("long")), current, self.window)
-        found = support(edge_instances(held)).where(F.col("support") >= self.least)
-        found.withColumn("batch", F.lit(current)).write.mode("overwrite").parquet(f"{self.folder}/patterns/epoch={epoch}")
+        new = checkpointed(edge_instances(with_batch(micro, self.size_ms)).withColumn("fresh", F.lit(True)))
+        edges, grown = self._state(spark, "edges", epoch - 1), self._state(spark, "grown", epoch - 1)
+        all_ = new if edges is None else new.unionByName(edges)
+        current = all_.agg(F.max("batch")).first()[0]
+        held = all_ if current is None else in_window(all_, current, self.window)
+        # an edge that comes again counts once, in its latest batch
+        held = held.groupBy("id").agg(F.first("edges").alias("edges"), F.first("pattern").alias("pattern"), F.max("batch").alias("batch"), F.min("fresh").alias("fresh"))
+        counted = support(held).where(F.col("support") >= self.least)
+        held = held.join(counted.select("pattern", F.lit(True).alias("now")), "pattern", "left").withColumn("now", F.coalesce("now", F.lit(False)))
+        held = checkpointed(held)
+        # ``fresh`` stays until an edge's pattern has been frequent once and its pairs were grown
+        found, _ = grow(held.where("now").select("id", "edges", "pattern", "batch", "fresh"), fresh=True)
+        if grown is not None:
+            parts = grown.select("id", F.explode("edges").alias("e")).select("id", F.col("e.id").alias("part"))
+            gone = parts.join(held.where("now").select(F.col("id").alias("part")), "part", "left_anti").select("id").distinct()
+            found = found.unionByName(grown.join(gone, "id", "left_anti"))
+            found = found.groupBy("id").agg(F.first("edges").alias("edges"), F.first("pattern").alias("pattern"), F.max("batch").alias("batch"))
+        found = checkpointed(found)
+        held.select("id", "edges", "pattern", "batch", (F.col("fresh") & ~F.col("now") | ~F.col("now")).alias("fresh")).write.mode("overwrite").parquet(f"{self.folder}/edges/epoch={epoch}")
+        found.write.mode("overwrite").parquet(f"{self.folder}/grown/epoch={epoch}")
+        result = counted.unionByName(support(found).where(F.col("support") >= self.least))
+        result.withColumn("batch", F.lit(current).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/patterns/epoch={epoch}")
+        for kind in ("edges", "grown"):  # the epoch before may be asked for again, older ones aren't
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}/epoch={epoch - 2}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def history(self, spark) -> DataFrame:
         """(pattern, support, batch, epoch) of all windows so far."""
         return spark.read.parquet(f"{self.folder}/patterns")
 
     def cumulative(self, spark) -> DataFrame:
-        """(pattern, support): the supports of all windows together."""
-        return self.history(spark).groupBy("pattern").agg(F.sum("support").alias("support"))
+        """(pattern, support): the supports of the last window of each batch together; a pattern counts in every window that holds it."""
+        h = self.history(spark)
+        last = h.groupBy("batch").agg(F.max("epoch").alias("epoch"))
+        return h.join(last, ["batch", "epoch"]).groupBy("pattern").agg(F.sum("support").alias("support"))
 
 
 def start(stream: DataFrame, miner: SlidingMiner, checkpoint: str, trigger: dict | None = None):
