@@ -70,6 +70,39 @@ def test_topic_paths(spark):
     assert paths.simple_paths(pair, paths.adjacency(e), 2, topic, 0.35).collect() == []
 
 
+def test_paths_between_ends(spark, rows):
+    """Pairs that are never formed give the paths of the formed ones, with degrees and topics of vertices on either half."""
+    rows = [r for r in rows if r[0] != r[2]]
+    e = edges(spark, rows)
+    a = spark.createDataFrame([(f"v{k}", k % 2) for k in range(6)], "src string, a int")
+    b = spark.createDataFrame([(f"v{k}", k % 2) for k in range(3, 9)], "dst string, b int")
+    degree = collections.Counter(v for s, _, o in rows for v in (s, o))
+    near = {f"v{k}": [1.0, 0.0] if k % 3 else [0.0, 1.0] for k in range(12)}
+    topics = spark.createDataFrame(list(near.items()), "v string, topic array<double>")
+    plain, by_topic = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for r in paths.path_scores(paths.simple_paths(paths.Ends(a, b, "a = b"), paths.adjacency(e, degree=True), 4)).collect():
+        assert r.length == len(r.path) and [x.v_degree for x in r.path[:-1]] == [degree[x.v] for x in r.path[:-1]]
+        inner = [1 / math.log2(1 + degree[x.v]) for x in r.path[:-1]]
+        assert math.isclose(r.specificity, sum(inner) / len(inner) if inner else 1.0)
+        plain[r.src, r.dst][tuple((x.p, x.out, x.v) for x in r.path)] += 1
+    for r in paths.simple_paths(paths.Ends(a, b, "a = b"), paths.adjacency(e), 4, topics, 0.5).collect():
+        by_topic[r.src, r.dst][tuple(tuple(x) for x in r.path)] += 1
+    for i in range(6):
+        for j in range(3, 9):
+            want = walk(rows, f"v{i}", f"v{j}", 4) if i % 2 == j % 2 else collections.Counter()
+            assert plain[f"v{i}", f"v{j}"] == want
+            near_all = lambda p: all(near.get(v, near[f"v{i}"]) == near[f"v{i}"] for _, _, v in p)  # noqa: E731, B023
+            assert by_topic[f"v{i}", f"v{j}"] == collections.Counter({p: n for p, n in want.items() if near_all(p)})
+
+
+def test_many_pairs_few_paths(spark):
+    """Four million pairs of ends, of which two are linked: 4,000 rows of ends are all that is read."""
+    e = edges(spark, [("s1", "p", "m"), ("m", "p", "t1"), ("t2", "q", "m"), ("s3", "q", "x")])
+    a, b = spark.range(2000).selectExpr("concat('s', id) src", "1 a"), spark.range(2000).selectExpr("concat('t', id) dst", "1 b")
+    found = paths.simple_paths(paths.Ends(a, b, "a = b"), paths.adjacency(e), 3)
+    assert sorted((r.src, r.dst, r.length) for r in found.collect()) == [("s1", "t1", 2), ("s1", "t2", 2)]
+
+
 def test_stars_and_chains(spark, rows):
     typed = edges(spark, rows).select("*", F.lit(None).cast("timestamp").alias("ts"), F.substring("s", 2, 1).alias("st"), F.substring("o", 2, 1).alias("dt"))
     sig = [f"{s[1]}|{p}|{o[1]}" for s, p, o in rows]
