@@ -154,6 +154,25 @@ def test_pairs_from_counts(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, links.collect()))
 
 
+def test_mined_pairs_are_those_of_growth(spark):
+    """Mining from signatures at vertices, without instances: patterns, links and pairs of followers as growth gives them."""
+    rng = random.Random(5)
+    rows = list({(f"v{rng.randrange(9)}", rng.choice("pq"), f"v{rng.randrange(9)}") for _ in range(50)}) + [("v1", "p", "v1"), ("v2", "q", "v1"), ("v1", "q", "v2")]
+    kind = lambda c: F.concat(F.lit("T"), (F.substring(c, 2, 1).cast("int") % 3).cast("string"))
+    typed = edges(spark, rows).distinct().withColumn("st", kind("s")).withColumn("dt", kind("o"))
+    found, links = mining.mine(typed, 2, 2)
+    one = mining.edge_instances(typed)
+    frequent = filters.frequent_only(one, mining.support(one), 2)
+    two, link = mining.grow(frequent)
+    want = [(p, n) for x in (one, two) for p, n in mining.support(x).collect() if n >= 2]
+    assert sorted((r.pattern, r.support) for r in found.collect()) == sorted(want)
+    joined = {p for p, _ in want}
+    assert sorted(map(tuple, links.collect())) == sorted((a, b) for a, b in link.collect() if b in joined)
+    for k in (1, 2):
+        n = mining.grow(one, edge_limit=k)[0].groupBy("pattern").count()
+        assert sorted(map(tuple, mining.followed(one, k).collect())) == sorted(map(tuple, n.collect()))
+
+
 def test_pagerank_and_triangles(spark, rows):
     e = edges(spark, rows)
     link = {(s, o) for s, _, o in rows}
