@@ -301,6 +301,36 @@ def test_link_prediction(spark):
     assert linkpred.pattern_classifier(svm, ["x"])[1] > 0.95
 
 
+def test_all_scores_by_blocks(spark):
+    """Ranks and figures over all users and items are those of the table of all scores, which is never made."""
+    rng = random.Random(4)
+    u, i = [(f"u{k}",) for k in range(25)], [(f"i{k}",) for k in range(70)]
+    pairs = [(a, b, rng.random()) for (a,) in u for (b,) in i]
+    users, items = spark.createDataFrame(u, "user string"), spark.createDataFrame(i, "item string")
+    known = spark.createDataFrame([(a, b) for a, b, x in pairs if x < 0.3], "user string, item string")
+    test = spark.createDataFrame([(a, b) for a, b, x in pairs if x > 0.9] + [("nobody", "i1"), ("u1", "nothing")], "user string, item string")
+    score = lambda a, b: F.round(C.uniform(a, b, seed=3), 1)
+    table = users.crossJoin(items).withColumn("score", score(F.col("user"), F.col("item")))
+    got = linkpred.best_by_score(users, items, score, known, 4, block=16)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, linkpred.ranked(table, known, 4).collect()))
+    assert linkpred.evaluate_by_score(users, items, score, known, test, 4, block=16).first() == pytest.approx(linkpred.evaluate(table, known, test, 4).first())
+
+
+def test_near_topics_lose_none(spark):
+    rng = np.random.default_rng(2)
+    x = rng.dirichlet([0.4] * 6, 90)
+    x[:20] = x[20:40] + rng.random((20, 6)) / 40
+    t = spark.createDataFrame([(k, k % 2, (x[k] / x[k].sum()).tolist()) for k in range(90)] + [(90, 0, [1.0]), (91, 0, None)], "v long, label int, topic array<double>")
+    a, b = t.toDF("v", "label", "x"), t.toDF("nbr", "label", "y")
+    for below in (0.004, 0.1):
+        near = filters.coherent(F.col("x"), F.col("y"), below)
+        want = sorted(map(tuple, a.join(b, "label").where("v < nbr").where(near).select("v", "nbr").collect()))
+        close = filters.near_topics(t, "label", below, block=10)
+        assert close.count() < 2000
+        got = close.join(a.drop("label"), "v").join(b.drop("label"), "nbr").where(near).select("v", "nbr")
+        assert want and sorted(map(tuple, got.collect())) == want
+
+
 @pytest.mark.parametrize("threshold", [0.7, 0.4])
 def test_candidates_lose_none(spark, threshold):
     rng = random.Random(6)
