@@ -173,6 +173,24 @@ def test_mined_pairs_are_those_of_growth(spark):
         assert sorted(map(tuple, mining.followed(one, k).collect())) == sorted(map(tuple, n.collect()))
 
 
+def test_batches_are_no_keys_of_edges(spark):
+    """Supports of windows by brute force; edges are not joined by batch."""
+    rng = random.Random(8)
+    rows = [(f"v{rng.randrange(8)}", rng.choice("pq"), f"v{rng.randrange(8)}", rng.choice([1, 2, 4, 7, None])) for _ in range(60)]
+    typed = spark.createDataFrame(rows, "s string, p string, o string, batch long").withColumn("st", F.lit("A")).withColumn("dt", F.lit("B"))
+    for window in (1, 3):
+        want = {}
+        for b in (1, 2, 4, 7):
+            for p in "pq":
+                e = [x for x in rows if x[1] == p and x[3] is not None and b - window < x[3] <= b]
+                if e:
+                    want[b, f"A|{p}|B"] = min(len({x[0] for x in e}), len({x[2] for x in e}))
+        got = mining.per_batch_support(typed, window)
+        assert {(r.batch, r.pattern): r.support for r in got.collect()} == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+
+
 def test_pagerank_and_triangles(spark, rows):
     e = edges(spark, rows)
     link = {(s, o) for s, _, o in rows}

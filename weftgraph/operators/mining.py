@@ -214,12 +214,21 @@ def cumulative(history: DataFrame) -> DataFrame:
 
 
 def per_batch_support(typed: DataFrame, window: int = 1) -> DataFrame:
-    """(batch, pattern, support) of one-edge patterns, each batch with the ``window - 1`` before it."""
-    spread = typed.where("batch is not null").withColumn("batch", F.explode(F.sequence(F.col("batch"), F.col("batch") + window - 1)))
-    seen = typed.where("batch is not null").select("batch").distinct()
-    spread = spread.join(seen, "batch", "left_semi")
+    """(batch, pattern, support) of one-edge patterns, each batch with the ``window - 1`` before it.
+
+    Images are made distinct at their vertex and spread over the windows there, so neither an edge nor an image is shuffled
+    by its batch, of which there are few. The result, a row for each batch and pattern, is kept for who reads it twice.
+    """
     sig = F.concat_ws("|", "st", "p", "dt")
     ends = F.array(F.struct(F.col("st").alias("t"), F.col("s").alias("v")), F.struct(F.col("dt").alias("t"), F.col("o").alias("v")))
-    image = spread.select("batch", sig.alias("pattern"), F.explode(ends).alias("x")).select("batch", "pattern", "x.*").distinct()
-    count = image.groupBy("batch", "pattern", "t").agg(F.count(F.lit(1)).alias("n"))
-    return count.groupBy("batch", "pattern").agg(F.min("n").alias("support"))
+    image = typed.where("batch is not null").select("batch", sig.alias("pattern"), F.explode(ends).alias("x")).select("batch", "pattern", "x.*")
+    image = image.repartition("v").distinct()
+    if window == 1:
+        image = image.withColumn("own", F.lit(True))
+    else:
+        spread = image.select("*", F.explode(F.sequence(F.col("batch"), F.col("batch") + window - 1)).alias("at"))
+        image = spread.groupBy("at", "pattern", "t", "v").agg(F.bool_or(F.col("at") == F.col("batch")).alias("own")).withColumnRenamed("at", "batch")
+    count = image.groupBy("batch", "pattern", "t").agg(F.count(F.lit(1)).alias("n"), F.bool_or("own").alias("own"))
+    out = checkpointed(count.groupBy("batch", "pattern").agg(F.min("n").alias("support"), F.bool_or("own").alias("own")))
+    # a batch is there if it has edges of its own
+    return out.join(few(out.where("own").select("batch").distinct()), "batch", "left_semi").select("batch", "pattern", "support")
