@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -173,6 +174,29 @@ def test_mined_pairs_are_those_of_growth(spark):
         assert sorted(map(tuple, mining.followed(one, k).collect())) == sorted(map(tuple, n.collect()))
 
 
+@pytest.mark.parametrize("seed,vertices,n", [(1, 9, 22), (2, 14, 26), (3, 6, 16), (4, 20, 24)])
+def test_mined_triples_are_those_of_growth(spark, seed, vertices, n):
+    """Two growths without instances: patterns, supports and links as growth of all instances gives them."""
+    rng = random.Random(seed)
+    rows = list({(f"v{rng.randrange(vertices)}", rng.choice("pq"), f"v{rng.randrange(vertices)}") for _ in range(n)} | {("v1", "p", "v1"), ("v2", "q", "v1"), ("v1", "q", "v2")})
+    kind = lambda c: F.concat(F.lit("T"), (F.substring(c, 2, 2).cast("int") % 3).cast("string"))
+    typed = edges(spark, rows).distinct().withColumn("st", kind("s")).withColumn("dt", kind("o"))
+    found, links = mining.mine(typed, 2, 4)
+    if seed == 3:
+        with mock.patch.object(mining, "_images", lambda k, real=mining._images: real(k, 8)):
+            assert sorted(map(tuple, mining.mine(typed, 2, 4)[0].collect())) == sorted(map(tuple, found.collect()))
+    one = mining.edge_instances(typed)
+    frequent = filters.frequent_only(one, mining.support(one), 2)
+    two, link2 = mining.grow(frequent)
+    pair = mining.support(two)
+    kept = filters.frequent_only(two, pair, 2).select(*frequent.columns)
+    three, link3 = mining.grow(frequent.unionByName(kept), "edge")
+    want = {p: k for x in (mining.support(one), pair, mining.support(three)) for p, k in x.collect() if k >= 2}
+    assert any(p.count("+") == 2 for p in want)
+    assert {r.pattern: (r.size, r.support) for r in found.collect()} == {p: (p.count("+") + 1, k) for p, k in want.items()}
+    assert {*map(tuple, links.collect())} == {(a, b) for x in (link2, link3) for a, b in x.collect() if b in want}
+
+
 def test_batches_are_no_keys_of_edges(spark):
     """Supports of windows by brute force; edges are not joined by batch."""
     rng = random.Random(8)
