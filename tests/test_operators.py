@@ -290,6 +290,21 @@ def test_sampling_repeats_and_bounds(spark):
     assert {(r.percent, r.q, r.p) for r in sampling.grid(e).collect()} == set(itertools.product((10, 20, 30, 40, 50), (0.2, 0.4, 0.6, 0.8, 1.0), (0.2, 0.4, 0.6, 0.8, 1.0)))
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_band_sample_is_that_of_joins(spark, most):
+    """Broadcasting the vertices outside the band takes the same edges, and joins no edge by a shuffle."""
+    rng = random.Random(4)
+    rows = [(f"v{rng.randrange(8) ** 2}", rng.choice("pq"), f"v{rng.randrange(8)}") for _ in range(300)]
+    e = edges(spark, rows + [(None, "p", "v3"), ("v3", "q", None), (None, "q", None)])
+    d = stats.degrees(e)
+    want = sampling.sample_and_hold(e, sampling.value_band(d, "degree", 20), 0.1, 0.5)
+    got = sampling.band_sample(e, d, "degree", 20, 0.1, 0.5, most=most)
+    key = lambda df: sorted(map(str, df.select("s", "p", "o").collect()))
+    assert key(got) == key(want) and 0 < len(key(want)) < 300
+    if most:
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_extraction(spark):
     assert text.extract_text("Obama was born in Hawaii")[-1][:3] == ("Obama", "was born in", "Hawaii")
     docs = spark.createDataFrame([(1, "Obama was born in Hawaii. The New York Times praised Obama.\nnothing here"), (2, None), (3, "")], "doc_id long, text string")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
+from ..kg import stored
 from .stats import degrees, mean_and_deviation, rank_band
 
 
@@ -22,6 +23,23 @@ def value_band(metric: DataFrame, column: str, percent: float) -> DataFrame:
     return metric.crossJoin(F.broadcast(ends)).where(inside).select("v")
 
 
+def band_sample(edges: DataFrame, metric: DataFrame, column: str, percent: float, p: float, q: float, seed: int = 1, most: int = 100_000) -> DataFrame:
+    """``sample_and_hold`` at the ``value_band`` of a metric that every vertex of the edges has. Values are few at the ends and
+    many between them, or the other way round: where up to ``most`` vertices are outside the band, these are broadcast and
+    the edges are neither shuffled nor sorted; else both ends are joined."""
+    metric = stored(metric.select("v", column))
+    low, high = metric.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return edges.limit(0)
+    inside = (F.col(column) <= low + (high - low) * percent / 100) | (F.col(column) >= high - (high - low) * percent / 100)
+    outside = metric.where(~inside & F.col("v").isNotNull()).select("v")
+    if outside.limit(most + 1).count() > most:
+        return sample_and_hold(edges, value_band(metric, column, percent), p, q, seed)
+    s, o = outside.select(F.col("v").alias("s"), F.lit(True).alias("out_s")), outside.select(F.col("v").alias("o"), F.lit(True).alias("out_o"))
+    at = edges.where((_draw(seed) < q) | (_draw(seed + 1) < p)).join(F.broadcast(s), "s", "left").join(F.broadcast(o), "o", "left")
+    return at.where((F.col("s").isNotNull() & F.col("out_s").isNull()) | (F.col("o").isNotNull() & F.col("out_o").isNull())).select(*edges.columns)
+
+
 def sample_and_hold(edges: DataFrame, chosen: DataFrame, p: float, q: float, seed: int = 1, others: bool = False) -> DataFrame:
     """Edges at a chosen vertex are held with probability q and else sampled with p; ``others`` keeps the rest whole."""
     mark = chosen.select("v").distinct()
