@@ -305,6 +305,17 @@ def test_band_sample_is_that_of_joins(spark, most):
         assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_factor_tables_in_blocks(spark):
+    """Tables of factors are written block by block, so the driver has no list of all rows."""
+    m = linkpred.start(5, 7, linkpred.Settings(factors=3))
+    sizes, real = [], spark.createDataFrame
+    with mock.patch.object(spark, "createDataFrame", lambda data, *a: sizes.append(len(data)) or real(data, *a)):
+        u, i = linkpred.model_tables(spark, m, list("abcde"), list("fghijkl"), block=3)
+    assert max(sizes) == 3
+    assert {r.user: r.pu for r in u.collect()} == dict(zip("abcde", m.users.tolist()))
+    assert {r["item"]: (r.qi, r.bias) for r in i.collect()} == {k: (q, 0.0) for k, q in zip("fghijkl", m.items.tolist())}
+
+
 def test_extraction(spark):
     assert text.extract_text("Obama was born in Hawaii")[-1][:3] == ("Obama", "was born in", "Hawaii")
     docs = spark.createDataFrame([(1, "Obama was born in Hawaii. The New York Times praised Obama.\nnothing here"), (2, None), (3, "")], "doc_id long, text string")
