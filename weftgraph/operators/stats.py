@@ -80,6 +80,13 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def triple_counts(triples: DataFrame, most: int = 250_000) -> DataFrame:
+    """(s, p, o, n): how often each triple occurs. Hardly any is repeated, so rows are shuffled before they are counted, into
+    so many partitions that one has about ``most``: what a task holds doesn't grow with the graph."""
+    parts = max(1, -(-triples.count() // most))
+    return triples.select("s", "p", "o").repartition(parts, "s", "p", "o").groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
+
+
 def diversity(edges: DataFrame) -> DataFrame:
     """(v, diversity): distinct targets."""
     return edges.groupBy(F.col("s").alias("v")).agg(F.countDistinct("o").alias("diversity"))

@@ -81,7 +81,8 @@ def pattern_table(df: DataFrame) -> DataFrame:
 
 
 def graph(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Row groups of 16 MB: a group is read by one task, and labels take several times as much in memory."""
+    df.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def turtle(df: DataFrame) -> DataFrame:
