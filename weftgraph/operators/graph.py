@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kg import checkpointed
+from ..kg import checkpointed, few, stored
 from .stats import ranked_rows
 
 
@@ -33,17 +34,30 @@ def pagerank(edges: DataFrame, rounds: int = 10, reset: float = 0.15, tolerance:
 def triangles(edges: DataFrame) -> DataFrame:
     """(v, triangles): of the undirected simple graph; only vertices in one are listed.
 
-    Edges point from the end of lower degree, so that no hub lists its neighbour pairs.
+    Edges point from the end of lower degree, so that no hub has many out of it. An edge (f, t) is closed by what both its
+    ends point to; the end that points to less is looked through, so no pairs of neighbours are formed.
     """
     e = edges.where("s != o").select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
-    d = e.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
-    x, y = d.select(F.col("v").alias("a"), F.col("d").alias("da")), d.select(F.col("v").alias("b"), F.col("d").alias("db"))
-    first = F.struct("da", "a") < F.struct(F.col("db").alias("da"), F.col("b").alias("a"))
-    out = checkpointed(e.join(x, "a").join(y, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("f"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("t")))
-    wedge = out.join(out.select("f", F.col("t").alias("t2")), "f").where("t < t2")
-    close = out.select(F.least("f", "t").alias("t"), F.greatest("f", "t").alias("t2"))
-    hit = wedge.join(close, ["t", "t2"])
-    return hit.select(F.explode(F.array("f", "t", "t2")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("triangles"))
+    near = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a")
+    d = near.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    # each end is handed the other's degree, and the lower end keeps the edge
+    given = near.join(d.hint("shuffle_hash"), "a").select(F.col("b").alias("f"), F.col("a").alias("t"), F.col("d").alias("dt")).repartition("f")
+    both = given.join(d.select(F.col("a").alias("f"), F.col("d").alias("df")).hint("shuffle_hash"), "f")
+    low = both.where(F.struct(F.col("df").alias("d"), F.col("f").alias("v")) < F.struct(F.col("dt").alias("d"), F.col("t").alias("v")))
+    return _closed(stored(low.groupBy("f").agg(F.collect_list("t").alias("to"))))
+
+
+def _candidates(out: DataFrame) -> DataFrame:
+    """(f, t, x, a, b): f points to t; x closes them if a points to b. ``out`` is (f, to)."""
+    edge = out.select("f", F.size("to").alias("n"), F.explode("to").alias("t")).join(out.select(F.col("f").alias("t"), F.col("to").alias("on")), "t")
+    far = edge.where("size(on) <= n").select("f", "t", F.explode("on").alias("x")).select("*", F.col("f").alias("a"), F.col("x").alias("b"))
+    rest = edge.where("size(on) > n").select("f", "t").join(out, "f").select("f", "t", F.explode("to").alias("x"))
+    return far.unionAll(rest.where("x != t").select("*", F.col("t").alias("a"), F.col("x").alias("b")))
+
+
+def _closed(out: DataFrame) -> DataFrame:
+    hit = _candidates(out).join(out.select(F.col("f").alias("a"), F.explode("to").alias("b")), ["a", "b"])
+    return hit.select(F.explode(F.array("f", "t", "x")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("triangles"))
 
 
 def clusters(pairs: DataFrame, k: int, rounds: int = 10, least: int = 2) -> DataFrame:
