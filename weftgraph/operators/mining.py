@@ -93,22 +93,27 @@ def pair_counts(instances: DataFrame, current=None) -> DataFrame:
 
     With ``current``, (pattern, batch, n) of the pairs of which one is of that batch, by the later batch of the two.
     """
-    ends, kind = _ends(instances), ["sig"] if current is None else ["sig", "batch"]
-
-    def of(edges: DataFrame, *at: str) -> DataFrame:
-        k = edges.groupBy(*at, *kind).agg(F.count(F.lit(1)).alias("k"))
-        mine, other = F.struct(*kind), F.struct(*[F.col(c + "_b").alias(c) for c in kind])
-        both = k.join(k.select(*at, *[F.col(c).alias(c + "_b") for c in (*kind, "k")]), list(at)).where(mine <= other)
-        if current is not None:
-            both = both.where((F.col("batch") == current) | (F.col("batch_b") == current))
-        n = F.when(mine == other, F.expr("k * (k - 1) div 2")).otherwise(F.col("k") * F.col("k_b"))
-        later = [] if current is None else [F.greatest("batch", "batch_b").alias("batch")]
-        return both.select(_pair_pattern("sig", "sig_b").alias("pattern"), *later, n.alias("n"))
-
+    kind = ["sig"] if current is None else ["sig", "batch"]
+    now = F.lit(True) if current is None else F.col("x.batch") == current
+    # an edge is shuffled once to either end, where all of its counts are taken
+    other = F.when(F.col("at") == F.col("s"), F.col("o")).otherwise(F.col("s"))
+    ends = _ends(instances).select("at", other.alias("other"), *kind).repartition("at")
+    k = ends.groupBy("at", *kind).agg(F.count(F.lit(1)).alias("k"))
     # edges between the same two vertices meet at both
-    twice = ends.where("at = s and s != o").select(*kind, F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"))
-    n = of(ends, "at").unionByName(of(twice, "a", "b").withColumn("n", -F.col("n")))
-    return n.groupBy("pattern", *kind[1:]).agg(F.sum("n").alias("n")).where("n > 0")
+    twice = ends.where("at < other").groupBy("at", "other").agg(F.collect_list(F.struct(*kind, F.lit(1).cast("long").alias("k"))).alias("all")).where("size(all) > 1")
+
+    def of(groups: DataFrame, one: bool) -> DataFrame:
+        """Pairs within each list; an entry that stands for many edges (``one`` False) has pairs of its own."""
+        x = groups.select("all", F.posexplode("all").alias("i", "x")).where(now).select("i", "x", F.posexplode("all").alias("j", "y"))
+        # of two entries that both are current, the first in the list is x
+        x = x.where((F.col("i") < F.col("j")) | (F.lit(False) if current is None else F.col("y.batch") != current) | (F.lit(not one) & (F.col("i") == F.col("j"))))
+        n = F.when(F.col("i") == F.col("j"), F.expr("x.k * (x.k - 1) div 2")).otherwise(F.col("x.k") * F.col("y.k"))
+        later = [] if current is None else [F.greatest("x.batch", "y.batch").alias("batch")]
+        return x.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"), *later, n.alias("n"))
+
+    n = of(k.groupBy("at").agg(F.collect_list(F.struct(*kind, "k")).alias("all")), False).unionByName(of(twice, True).withColumn("n", -F.col("n")))
+    n = n.groupBy("a", "b", *kind[1:]).agg(F.sum("n").alias("n")).where("n > 0")
+    return n.select(_pair_pattern("a", "b").alias("pattern"), *kind[1:], "n")
 
 
 def _pair_images(edges: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ SIGNATURE = ["st", "p", "dt"]
 
 
 def typed_edges(kg: KG) -> DataFrame:
-    """(s, p, o, ts, st, dt): edges of which both ends have a type (triplet view)."""
+    """(s, p, o, ts, st, dt): edges of which both ends have a type (triplet view). Types are few beside edges: these are hashed,
+    so edges aren't sorted."""
     t = kg.main_type
-    source, target = t.select(F.col("v").alias("s"), F.col("type").alias("st")), t.select(F.col("v").alias("o"), F.col("type").alias("dt"))
+    source, target = (t.select(F.col("v").alias(v), F.col("type").alias(k)).hint("shuffle_hash") for v, k in (("s", "st"), ("o", "dt")))
     return kg.edges.join(source, "s").join(target, "o").select("s", "p", "o", "ts", "st", "dt")
 
 
