@@ -10,25 +10,35 @@ from ..kg import checkpointed, few, stored
 from .stats import ranked_rows
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, reset: float = 0.15, tolerance: float | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 10, reset: float = 0.15, tolerance: float | None = None, most: int = 10_000) -> DataFrame:
     """(v, rank): unnormalised ranks, 1 at first; a round is reset + (1 - reset) * what sources hand on.
 
-    With ``tolerance`` the rounds end once no rank changes by more.
+    With ``tolerance`` the rounds end once no rank changes by more. Links lie at their source, about ``most`` in a row, and
+    stay there in all rounds: a round shuffles what is handed on, and sorts nothing.
     """
-    link = edges.select("s", "o").distinct()
-    out = link.groupBy("s").agg(F.count(F.lit(1)).alias("degree"))
-    link = checkpointed(link.join(out, "s"))
-    vertices = checkpointed(link.select(F.col("s").alias("v")).unionAll(link.select(F.col("o").alias("v"))).distinct())
-    rank = vertices.withColumn("rank", F.lit(1.0))
-    for _ in range(rounds):
-        given = link.join(rank, link["s"] == rank["v"]).groupBy(F.col("o").alias("v")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
-        new = checkpointed(vertices.join(given, "v", "left").select("v", (reset + (1 - reset) * F.coalesce("given", F.lit(0.0))).alias("rank")))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = edges.where("s is not null")
+    link = e.select(F.col("s").alias("v"), "o", F.lit(True).alias("real")).unionAll(e.select(F.col("o").alias("v"), F.lit(None).cast("string").alias("o"), F.lit(False).alias("real")).distinct())
+    link = link.repartition(parts, "v").distinct()
+    degree = link.groupBy("v").agg(F.count_if("real").alias("degree"))
+    # a hub's targets lie in many rows
+    at = F.pmod(F.xxhash64("o"), F.floor(F.col("degree") / most) + 1)
+    to = link.join(degree.hint("shuffle_hash"), "v", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))  # a null is no source
+    to = to.groupBy("v", "degree", at.alias("at")).agg(F.collect_list("o").alias("to")).drop("at")
+    to = to.persist(StorageLevel.DISK_ONLY)
+    rank = to.withColumn("rank", F.lit(1.0))
+    for turn in range(rounds):
+        given = rank.where("size(to) > 0").select((F.col("rank") / F.col("degree")).alias("x"), F.explode("to").alias("v")).groupBy("v").agg(F.sum("x").alias("given"))
+        new = to.join(given.hint("shuffle_hash"), "v", "left").select("v", "degree", "to", (reset + (1 - reset) * F.coalesce("given", F.lit(0.0))).alias("rank"))
         if tolerance is not None:
-            change = new.join(rank.withColumnRenamed("rank", "old"), "v").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            new = checkpointed(new)
+            change = new.select("v", "rank").distinct().join(rank.select("v", F.col("rank").alias("old")).distinct(), "v").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
         rank = new
         if tolerance is not None and (change is None or change <= tolerance):
             break
-    return rank
+    out = stored(rank.groupBy("v").agg(F.max("rank").alias("rank")))
+    to.unpersist()
+    return out
 
 
 def triangles(edges: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def ordered_hold(edges: DataFrame, chosen: DataFrame, order: str, p: float, q: f
 def similar_rank(edges: DataFrame, ranks: DataFrame, p: float, spread: float = 1.0, seed: int = 1) -> DataFrame:
     """Edges between vertices whose ranks differ by less than ``spread`` deviations stay, others are sampled with p."""
     d = mean_and_deviation(ranks, "rank").select("deviation")  # one row
-    a, b = ranks.select(F.col("v").alias("s"), F.col("rank").alias("a")), ranks.select(F.col("v").alias("o"), F.col("rank").alias("b"))
+    a, b = ranks.select(F.col("v").alias("s"), F.col("rank").alias("a")).hint("shuffle_hash"), ranks.select(F.col("v").alias("o"), F.col("rank").alias("b")).hint("shuffle_hash")
     both = edges.join(a, "s").join(b, "o").crossJoin(F.broadcast(d))
     return both.where((F.abs(F.col("a") - F.col("b")) < spread * F.col("deviation")) | (_draw(seed) < p)).select(*edges.columns)
 
