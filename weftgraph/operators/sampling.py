@@ -43,7 +43,7 @@ def band_sample(edges: DataFrame, metric: DataFrame, column: str, percent: float
 def sample_and_hold(edges: DataFrame, chosen: DataFrame, p: float, q: float, seed: int = 1, others: bool = False) -> DataFrame:
     """Edges at a chosen vertex are held with probability q and else sampled with p; ``others`` keeps the rest whole."""
     mark = chosen.select("v").distinct()
-    s, o = mark.select(F.col("v").alias("s"), F.lit(True).alias("in_s")), mark.select(F.col("v").alias("o"), F.lit(True).alias("in_o"))
+    s, o = mark.select(F.col("v").alias("s"), F.lit(True).alias("in_s")).hint("shuffle_hash"), mark.select(F.col("v").alias("o"), F.lit(True).alias("in_o")).hint("shuffle_hash")
     at = edges.join(s, "s", "left").join(o, "o", "left").withColumn("at", F.coalesce("in_s", "in_o", F.lit(False)))
     taken = (_draw(seed) < q) | (_draw(seed + 1) < p)
     return at.where((F.col("at") & taken) | (F.lit(others) & ~F.col("at"))).select(*edges.columns)

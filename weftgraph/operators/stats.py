@@ -78,7 +78,7 @@ def count_histogram(counts: DataFrame, n: str = "n") -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(v, degree): edges in and out; a loop counts twice."""
-    return both_ways(edges).groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
+    return edges.select(F.explode(F.array("s", "o")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def triple_counts(triples: DataFrame, most: int = 250_000) -> DataFrame:
@@ -265,7 +265,7 @@ def rank_band(values: DataFrame, column: str, percent: float, *ties: str) -> Dat
     The exact rank comes from range partitions: rows are sorted once and numbered from their partition's offset.
     """
     ranked = ranked_rows(values, column, *ties)
-    n = values.agg(F.count(F.lit(1)).alias("total"))
+    n = ranked.agg(F.count(F.lit(1)).alias("total"))
     low = F.col("total") * percent / 100
     return ranked.crossJoin(F.broadcast(n)).where((F.col("rank0") < low) | (F.col("rank0") > F.col("total") * (100 - percent) / 100)).drop("total")
 
