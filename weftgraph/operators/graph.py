@@ -92,11 +92,11 @@ def encode_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     v = encode_labels(edges.select(F.explode(F.array("s", "o")).alias("label")))
     p = encode_labels(edges.select(F.col("p").alias("label")))
     code = lambda d, c: d.select(F.col("label").alias(c), F.col("id").alias(c + "_id"))
-    ints = edges.join(code(v, "s"), "s").join(code(p, "p"), "p").join(code(v, "o"), "o")
+    ints = edges.select("s", "p", "o").join(few(code(p, "p")), "p").drop("p").join(code(v, "s").hint("shuffle_hash"), "s").drop("s").join(code(v, "o").hint("shuffle_hash"), "o")
     return ints.select(F.col("s_id").alias("s"), F.col("p_id").alias("p"), F.col("o_id").alias("o")), v, p
 
 
 def decode_graph(ints: DataFrame, vertices: DataFrame, predicates: DataFrame) -> DataFrame:
     name = lambda d, c: d.select(F.col("id").alias(c), F.col("label").alias(c + "_label"))
-    out = ints.join(name(vertices, "s"), "s").join(name(predicates, "p"), "p").join(name(vertices, "o"), "o")
+    out = ints.join(name(vertices, "o").hint("shuffle_hash"), "o").join(name(vertices, "s").hint("shuffle_hash"), "s").join(few(name(predicates, "p")), "p")
     return out.select(F.col("s_label").alias("s"), F.col("p_label").alias("p"), F.col("o_label").alias("o"))
