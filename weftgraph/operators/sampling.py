@@ -102,9 +102,12 @@ def grid(edges: DataFrame, percents=(10, 20, 30, 40, 50), qs=(0.2, 0.4, 0.6, 0.8
     ranked = rank_band(degrees(edges), "degree", 100, "v").select("v", "rank0")
     n = ranked.agg(F.max("rank0").alias("top"))
     share = ranked.crossJoin(F.broadcast(n)).select("v", F.least(F.col("rank0"), F.col("top") - F.col("rank0")).alias("edge_rank"), (F.col("top") + 1).alias("total"))
-    a, b = share.select(F.col("v").alias("s"), F.col("edge_rank").alias("ra"), "total"), share.select(F.col("v").alias("o"), F.col("edge_rank").alias("rb"))
-    drawn = edges.join(a, "s").join(b, "o").select(F.least("ra", "rb").alias("r"), "total", _draw(seed).alias("x"), _draw(seed + 1).alias("y"))
-    cases = [F.count_if((F.col("r") < F.col("total") * r / 100) & ((F.col("x") < q) | (F.col("y") < p))).alias(f"k{i}") for i, (r, q, p) in enumerate((r, q, p) for r in percents for q in qs for p in ps)]
+    a, b = share.select(F.col("v").alias("s"), F.col("edge_rank").alias("ra"), "total").hint("shuffle_hash"), share.select(F.col("v").alias("o"), F.col("edge_rank").alias("rb")).hint("shuffle_hash")
+    drawn = edges.select("s", "o", _draw(seed).alias("x"), _draw(seed + 1).alias("y")).join(a, "s").join(b, "o").select(F.least("ra", "rb").alias("r"), "total", "x", "y")
+    # edges are counted by how many bounds of each kind they are not under; the cases are sums of these counts
+    over = lambda value, bounds: sum((F.when(value < x, 0).otherwise(1) for x in bounds), F.lit(0))
+    at = drawn.groupBy(over(F.col("r"), [F.col("total") * r / 100 for r in sorted(percents)]).alias("r"), over(F.col("x"), qs).alias("x"), over(F.col("y"), ps).alias("y")).agg(F.count(F.lit(1)).alias("n"))
     names = [(r, q, p) for r in percents for q in qs for p in ps]
-    row = drawn.agg(*cases)
+    below = lambda c, bounds, bound: F.col(c) <= sorted(bounds).index(bound)
+    row = at.agg(*[F.coalesce(F.sum(F.when(below("r", percents, r) & (below("x", qs, q) | below("y", ps, p)), F.col("n"))), F.lit(0)).alias(f"k{i}") for i, (r, q, p) in enumerate(names)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(r).alias("percent"), F.lit(q).alias("q"), F.lit(p).alias("p"), F.col(f"k{i}").alias("kept")) for i, (r, q, p) in enumerate(names)])).alias("x")).select("x.*")
