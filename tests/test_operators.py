@@ -589,3 +589,36 @@ def test_grid_by_bounds(spark, rows):
     for r in sampling.grid(e, (30, 10), (0.6, 0.2), (1.0, 0.4, 0.1)).collect():
         near = lambda v: min(place[v], n - 1 - place[v])
         assert r.kept == sum(min(near(d.s), near(d.o)) < n * r.percent / 100 and (d.x < r.q or d.y < r.p) for d in drawn)
+
+
+def typed_graph(spark, seed=3):
+    """Triples with parallel edges, a source without a type, a target without one and many sources that have the same signatures."""
+    rng = random.Random(seed)
+    out = [(f"s{i}", TYPE, rng.choice("AB")) for i in range(60)] + [(f"t{i}", TYPE, f"T{i % 6}") for i in range(30)]
+    out += [(f"s{rng.randrange(62)}", rng.choice("pq"), f"t{rng.randrange(32)}") for _ in range(500)]
+    out += [x for i in range(40) for x in ((f"u{i}", TYPE, "U"), (f"u{i}", "p", f"t{i % 6}"), (f"u{i}", "p", f"t{i % 6}"), (f"u{i}", "q", "t6"), (f"u{i}", "q", "t12"))]
+    return out, KG(spark.createDataFrame(out, "s string, p string, o string").withColumn("ts", F.lit(None).cast("timestamp")))
+
+
+def signatures(rows):
+    """By source, the signatures of its distinct triples."""
+    kind = {s: min(o for x, p, o in rows if p == TYPE and x == s) for s, p, _ in rows if p == TYPE}
+    out = collections.defaultdict(list)
+    for s, p, o in set(rows):
+        if p != TYPE and s in kind and o in kind:
+            out[s].append(f"{kind[s]}|{p}|{kind[o]}")
+    return out
+
+
+def test_sets_of_signatures_are_grown_by_different_sets(spark):
+    rows, kg = typed_graph(spark)
+    want = collections.Counter(tuple(sorted(set(x))) for x in signatures(rows).values())
+    sets = stats.signature_sets(kg)
+    assert collections.Counter({tuple(r.sigs): r.n for r in sets.collect()}) == want and sets.count() == len(want)
+    got = stats.set_pattern_stats(sets, 2, 5)
+    have = collections.Counter(c for x, n in want.items() for k in range(1, 6) for c in itertools.combinations(x, k) for _ in range(n))
+    by = [[n for c, n in have.items() if len(c) == k and n > 2] for k in range(1, 6)]
+    assert [tuple(r) for r in got.orderBy("size").collect()] == [(k + 1, len(x), sum(x)) for k, x in enumerate(by)]
+    # it neither joins nor shuffles edges once the sets are there
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in stats.set_pattern_stats(sets.where("false"), 2, 2).orderBy("size").collect()] == [(1, 0, 0), (2, 0, 0)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..kg import KG, both_ways
+from ..kg import KG, both_ways, stored
 
 SIGNATURE = ["st", "p", "dt"]
 
@@ -151,21 +151,42 @@ def ontology_stats(pairs: DataFrame, thresholds=(1, 1000)) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), *[F.count_if(F.col("n") > t).alias(f"over_{t}") for t in thresholds])
 
 
-def set_pattern_stats(typed: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
+def signature_sets(kg: KG, each: bool = False) -> DataFrame:
+    """(sigs, n): the sorted outgoing signatures of a source, and how many sources have just these. With ``each`` a signature
+    is listed once for every distinct triple.
+
+    An edge is shuffled to its target, which adds its type, and to its source, which gathers what it has before it adds its own.
+    """
+    t = kg.main_type
+    source, target = (t.select(F.col("v").alias(v), F.col("type").alias(k)).hint("shuffle_hash") for v, k in (("s", "st"), ("o", "dt")))
+    edge = F.concat("p", F.coalesce(F.concat(F.lit("|"), "dt"), F.lit("")))
+    # the same edge to the same target is the same triple
+    out = kg.edges.select("s", "p", "o").join(target, "o").select("s", (F.struct("o", edge.alias("edge")) if each else edge).alias("edge"))
+    per = out.repartition("s").groupBy("s").agg(F.collect_set("edge").alias("edges"))
+    if each:
+        per = per.withColumn("edges", F.col("edges.edge"))
+    per = per.select("s", F.sort_array("edges").alias("edges"))
+    sets = per.join(source, "s").groupBy("st", "edges").agg(F.count(F.lit(1)).alias("n"))
+    return sets.select(F.transform("edges", lambda e: F.concat_ws("|", "st", e)).alias("sigs"), "n")
+
+
+def set_pattern_stats(sets: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
     """(size, patterns, support): sets of outgoing signatures by how many sources have them; only sets that more
-    than ``least`` sources have are grown.
+    than ``least`` sources have are grown. ``sets`` is (sigs, n) of ``signature_sets``.
 
-    Apriori: a set of k is a set of k - 1 and a greater signature, counted over the sources that have both.
+    Apriori: a set of k is a set of k - 1 and a greater signature of the same row, which is kept as the rest. Sources
+    that have the same signatures are one row, so growth costs by different rows.
     """
-    item = typed.select("s", _rendered("st", "p", "dt").alias("sig")).distinct()
-    have, out = item.select("s", F.col("sig").alias("set"), F.col("sig").alias("last")), None
+    rows, out = stored(sets), None
+    have = rows.select(F.lit("").alias("set"), F.col("sigs").alias("rest"), "n")
     for size in range(1, most + 1):
-        support = have.groupBy("set").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") > least)
+        at = have.select("set", "rest", "n", F.posexplode("rest").alias("i", "sig"))
+        longer = F.col("sig") if size == 1 else F.concat("set", F.lit(" + "), "sig")
+        have = at.select(longer.alias("set"), F.slice("rest", F.col("i") + 2, F.size("rest")).alias("rest"), "n")
+        support = stored(have.groupBy("set").agg(F.sum("n").alias("support")).where(F.col("support") > least))
         row = support.agg(F.lit(size).alias("size"), F.count(F.lit(1)).alias("patterns"), F.coalesce(F.sum("support"), F.lit(0)).alias("support"))
         out = row if out is None else out.unionAll(row)
-        if size < most:
-            grown = have.join(support.select("set"), "set", "left_semi").join(item, "s").where("sig > last")
-            have = grown.select("s", F.concat_ws(" + ", "set", "sig").alias("set"), F.col("sig").alias("last"))
+        have = have.join(support.select("set"), "set", "left_semi")
     return out
 
 
